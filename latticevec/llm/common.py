@@ -34,15 +34,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def row_key(doc_id: str, text: str) -> list[Column]:
-    """Two non-null columns that identify a document; rows without an id are told apart by their text."""
-    missing = F.col(doc_id).isNull()
+    """Two non-null columns that identify a document: its id, and a hash of its text and of whether it has an id.
+
+    Rows that share an id but not a text are different documents.
+    """
     return [
         F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("__lv_key"),
-        F.when(missing, F.xxhash64(F.col(text)).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).alias("__lv_null_key"),
+        F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("__lv_text_key"),
     ]
 
 
-KEY = ["__lv_key", "__lv_null_key"]
+KEY = ["__lv_key", "__lv_text_key"]
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -107,6 +109,35 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a UTF-8 text in their order, lower-cased; a part of bounded size at a time."""
+    lower, parts, a = text.decode("utf-8", "replace").lower().encode("utf-8", "replace"), [], 0
+    while a < len(lower):
+        b = min(len(lower), a + SEGMENT_BYTES)
+        while b < len(lower) and lower[b] not in b" \n\t":  # cut between words
+            b += 1
+        data = np.frombuffer(lower, np.uint8, b - a, a)
+        parts.append(span_hashes(data, *spans(word_mask(data))))
+        a = b
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def fold(doc_id: str, parts: int) -> Column:
+    """crc32 of the id's text, modulo ``parts``; null for rows without an id."""
+    return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % parts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, label, text) of up to ``most`` labelled ids, those of the least hashes, among the ``learn`` rows of the labels.
+
+    Null ids and labels don't count; an id labelled twice takes its larger label.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    ids = known.where(learn).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.join(F.broadcast(ids), "doc_id")  # ``most`` rows of two numbers
+
+
 def segments(texts: list[bytes], limit: int = SEGMENT_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of about ``limit`` bytes together, one text at least."""
     a, size = 0, 0

@@ -66,7 +66,7 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, __lv_key, __lv_null_key, fp) per row; fp is the fingerprint as a signed long. Null text counts as empty."""
+    """(doc_id, __lv_key, __lv_text_key, fp) per row; fp is the fingerprint as a signed long. Null text counts as empty."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64())], ["doc_id", *KEY, "fp"])
 
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *row_key(doc_id, text), F.col(text).alias("__lv_text"))
-    return columns.mapInArrow(scan, "doc_id long, __lv_key long, __lv_null_key long, fp long")
+    return columns.mapInArrow(scan, "doc_id long, __lv_key long, __lv_text_key long, fp long")
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -174,11 +174,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """The documents, all columns, with one row of each component: that of the least doc_id (any id before none).
 
-    Among rows with equal ids the one with the least hash of its text stays.
+    Of rows equal in id and text one stays.
     """
     prints = checkpoint(fingerprints(docs, doc_id, text, width))
     member = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
-    keep = prints.join(components(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min(member).alias("m")).select("m.__lv_key", "m.__lv_null_key")
+    keep = prints.join(components(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min(member).alias("m")).select("m.__lv_key", "m.__lv_text_key")
     rows = docs.select("*", *row_key(doc_id, text)).join(keep, KEY, "left_semi")
-    first = Window.partitionBy(*KEY).orderBy(F.xxhash64(F.col(text)))
-    return rows.withColumn("__lv_n", F.row_number().over(first)).where("__lv_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = Window.partitionBy(*KEY).orderBy(F.col(text))
+    return rows.withColumn("__lv_n", F.row_number().over(one)).where("__lv_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
