@@ -63,10 +63,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.select(F.col(doc_id).alias("doc_id"), F.col("__lv_new").alias("text"), F.when(F.col(text).isNull(), 0).otherwise(lines).cast("long").alias("n_lines"), F.col("__lv_removed").cast("long").alias("n_removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with the text that :func:`dedup_lines` gives them."""
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """The documents, all columns, with the text that :func:`dedup_lines` gives them; ``n_chars``, if given, is set anew where the text changed."""
     rows = _merged(docs, doc_id, text)
-    return rows.select(*[F.col("__lv_new").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    length = F.when(F.col("__lv_removed") > 0, F.length("__lv_new")).otherwise(F.col(n_chars)) if n_chars in docs.columns else None
+    new = {text: F.col("__lv_new"), n_chars: length if length is None else length.cast(docs.schema[n_chars].dataType)}
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for the rows of ``dedup_lines`` over a table ``documents`` with distinct ids.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latticevec.llm import bpe, decontam, lines, pii, quality, simhash, toxicity
+from latticevec.llm import ann, bpe, decontam, lines, pii, quality, simhash, tokens, toxicity, urls
 from latticevec.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.every_twentieth(table(spark, sf_dir, "embeddings"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -47,6 +59,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
+    "op3_nearest": op3_nearest,
+    "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
@@ -55,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": lines.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.ORACLE_SQL, "op9_line_dedup": lines.ORACLE_SQL}
