@@ -9,8 +9,8 @@ exactly.
 Largest inner product is turned into smallest angle by one more component that
 gives all vectors the length of the longest; a query has a zero there.
 
-How many buckets a query looks into is measured on a sample: pairs as near as
-a 20th neighbour in the whole table must meet at the target rate.
+How many buckets a query looks into is measured on a sample, whose vectors must
+meet their nearest neighbours there at the target rate.
 
 Rows and queries of a bucket meet in blocks of bounded size, so no bucket,
 however many equal vectors it holds, is one task's.
@@ -118,7 +118,12 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def measured(sample: np.ndarray, rows: int, k: int, dim: int, longest: float, even: bool, target: float) -> Hash:
-    """The hash whose probes find the sample's pairs that are as near as a k-th of ``rows`` neighbours, at the target rate."""
+    """The hash whose probes find the sample's nearest neighbours at the target rate.
+
+    Of each sampled vector as many neighbours count as its k nearest rows have
+    places in the sample, one at least; that one is no nearer than the k-th of
+    all rows is likely to be.
+    """
     rotations = 1 if rows <= ONE_ROTATION else 2
     out = Hash(dim, longest, even, rotations)
     if len(sample) < 10:
@@ -126,8 +131,9 @@ def measured(sample: np.ndarray, rows: int, k: int, dim: int, longest: float, ev
         return out
     score = sample @ sample.T
     np.fill_diagonal(score, -np.inf)
-    pairs = min(score.size - len(sample), max(400, int(score.size * min(1.0, k / rows))))
-    q, x = np.unravel_index(np.argpartition(-score.ravel(), pairs - 1)[:pairs], score.shape)
+    each = min(len(sample) - 1, max(1, -(-k * len(sample) // rows)))
+    x = np.argpartition(-score, each - 1, axis=1)[:, :each].ravel()
+    q, pairs = np.repeat(np.arange(len(sample)), each), len(x)
     most = min((2 * out.width) ** rotations, 4096)
     own, best = out.buckets(sample), np.full(pairs, most)
     for t, y in enumerate(out.turned(sample, True)):

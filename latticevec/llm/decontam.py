@@ -243,6 +243,7 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
             passes, anywhere = [], np.zeros(starts_below, bool)
             for least, most, _ in index.classes:
                 ok = (inside[least : least + starts_below] - inside[:starts_below]) >= least - int(index.allowed(most))
+                ok &= numbers[:starts_below] != -2  # windows begin at a word, not in the gap before a text
                 passes.append(ok)
                 anywhere |= ok
             alive = np.flatnonzero(anywhere)

@@ -85,7 +85,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.margin(*self.vector(*features(text, n_chars))), -30, 30))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 2e-4, seed: int = 3) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray, steps: int = 600, rate: float = 0.02, decay: float = 2e-4, seed: int = 3) -> Model:
     """Adam on the logistic loss. Without rows of both labels the score is the share of ones, or a half without any rows."""
     size, draw = (1 << WORD_BITS) + STATISTICS * (1 + BINS), np.random.default_rng(seed)
     stats = np.array([r[2] for r in rows]) if rows else np.zeros((1, STATISTICS))
@@ -97,8 +97,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarr
     vectors = [model.vector(*r) for r in rows]
     theta = np.concatenate([model.w[:, None], model.v], axis=1)
     m, s, t = np.zeros_like(theta), np.zeros_like(theta), 0
-    for _ in range(epochs):
-        for batch in np.array_split(draw.permutation(len(rows)), max(1, len(rows) // 64)):
+    parts = max(1, len(rows) // 64)
+    for _ in range(max(12, -(-steps // parts))):  # small samples are gone through more often
+        for batch in np.array_split(draw.permutation(len(rows)), parts):
             index, x = np.concatenate([vectors[k][0] for k in batch]), np.concatenate([vectors[k][1] for k in batch])
             lengths = np.array([len(vectors[k][0]) for k in batch])
             start = np.cumsum(lengths) - lengths
