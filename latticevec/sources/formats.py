@@ -278,3 +278,34 @@ def merge(folder: str, target: str) -> None:
                         pass
                 while chunk := f.read(1 << 22):
                     out.write(chunk)
+
+
+def read_boxes(spark: SparkSession, path: str, nodes: int):
+    """(box_id, lo, hi, members) of a box file: int32 boxes and members a box, six floats a box, and the members as int32, padded by ``nodes``, the number of points.
+
+    A box file has about 1 / point_ratio boxes, so the driver reads it.
+    """
+    fs, infos = files_of(path)
+    with fs.open_input_file(infos[0].path) as f:
+        data = f.read()
+    n, size = (int(x) for x in np.frombuffer(data, "<i4", 2))
+    if len(data) != 8 + 4 * n * (6 + size):
+        raise ValueError(f"{path}: {len(data)} bytes are not {n} boxes of {size} members")
+    sides = np.frombuffer(data, "<f4", 6 * n, 8).reshape(n, 6).astype(float)
+    members = np.frombuffer(data, "<i4", n * size, 8 + 24 * n).reshape(n, size)
+    rows = [(k, tuple(sides[k, :3].tolist()), tuple(sides[k, 3:].tolist()), members[k][members[k] != nodes].tolist()) for k in range(n)]
+    point = "struct<x: double, y: double, z: double>"
+    return spark.createDataFrame(rows, f"box_id int, lo {point}, hi {point}, members array<bigint>")
+
+
+def write_boxes(boxes, path: str, nodes: int) -> None:
+    """A box file of (box_id, lo, hi, members), padded by ``nodes``, the number of points."""
+    rows = boxes.orderBy("box_id").collect()  # about 1 / point_ratio rows
+    size = max((len(r["members"]) for r in rows), default=0)
+    members = np.full((len(rows), size), nodes, "<i4")
+    for k, r in enumerate(rows):
+        members[k, : len(r["members"])] = r["members"]
+    sides = np.array([[*r["lo"], *r["hi"]] for r in rows], "<f4")
+    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with fs.open_output_stream(at) as f:
+        f.write(np.array([len(rows), size], "<i4").tobytes() + sides.tobytes() + members.tobytes())

@@ -56,3 +56,15 @@ def test_errors(source, tmp_path):
     (tmp_path / "m.fvecs").write_bytes(mixed)
     with pytest.raises(Exception, match="whole number|different"):
         source.read.format("vectors").load(str(tmp_path / "m.fvecs")).collect()
+
+
+def test_box_files(source, tmp_path):
+    point = "struct<x: double, y: double, z: double>"
+    rows = [(0, (0.0, 0.5, 1.0), (1.0, 1.0, 2.0), [0, 3, 4]), (1, (-1.0, 0.0, 0.25), (0.0, 0.0, 8.0), [1]), (2, (0.0,) * 3, (0.0,) * 3, [])]
+    made = source.createDataFrame(rows, f"box_id int, lo {point}, hi {point}, members array<bigint>")
+    formats.write_boxes(made, str(tmp_path / "a.aabbs"), 5)
+    assert (tmp_path / "a.aabbs").stat().st_size == 8 + 3 * 24 + 3 * 3 * 4
+    assert sorted(formats.read_boxes(source, str(tmp_path / "a.aabbs"), 5).collect()) == sorted(made.collect())
+    (tmp_path / "a.aabbs").write_bytes(b"\1\0\0\0\1\0\0\0\0")
+    with pytest.raises(ValueError, match="not 1 boxes"):
+        formats.read_boxes(source, str(tmp_path / "a.aabbs"), 5)
