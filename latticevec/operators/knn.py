@@ -60,7 +60,8 @@ def _by_broadcast(rows: DataFrame, asked: DataFrame, k: int, dims: int | None, s
                 best, who = merged(best, who, *found)
         yield _rows(qids, best, who)
 
-    return rows.mapInArrow(scan, RESULT)
+    # Each partition gives k rows for each query, so there are a few partitions for each core, however many files there are.
+    return rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(scan, RESULT)
 
 
 def _by_blocks(rows: DataFrame, asked: DataFrame, n_asked: int, k: int, dims: int | None, skip_self: bool) -> DataFrame:
