@@ -29,7 +29,7 @@ SEPARATOR = 50304
 #: Tokens in front of each document that hold its id, in digits of 15 bits, which no separator can be mistaken for.
 HEADER = 5
 _NO_ID = 1 << 14
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 
 
 def header(doc_id: int | None) -> list[int]:
@@ -66,8 +66,9 @@ def read_blocks(spark: SparkSession, path: str, overlap: int = HEADER, block_tok
     """(file, block, last, data): the files under ``path`` in blocks that also hold the ``overlap`` tokens after them. A file has up to 2 GB."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").where("length(content) > 0")
     size = 2 * block_tokens
-    parts = f"transform(sequence(0, (length(content) - 1) div {size}), k -> struct(int(k) AS block, (k + 1) * {size} >= length(content) AS last, substring(content, int(k * {size} + 1), {size + 2 * overlap}) AS data))"
-    return files.select("file", F.expr(f"inline({parts})"))
+    # Blocks are cut out one by one as rows are made, not gathered in an array first.
+    numbered = files.select("file", "content", F.explode(F.expr(f"sequence(0, int((length(content) - 1) div {size}))")).alias("block"))
+    return numbered.selectExpr("file", "block", f"(block + 1L) * {size} >= length(content) AS last", f"substring(content, int(block * {size}L + 1), {size + 2 * overlap}) AS data")
 
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, head: int = HEADER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
