@@ -127,8 +127,7 @@ def _length(docs: DataFrame, n_chars: str | None):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", most: int = SAMPLE) -> Model:
     """A model learned from up to ``most`` labelled rows, none of them held out."""
-    keyed = docs.select("*") if n_chars not in docs.columns else docs
-    sample = labelled_sample(keyed.select(F.col(doc_id), F.struct(F.col(text).alias("t"), _length(docs, n_chars)).alias("x")), labels, label, fold("doc_id", FOLDS) != HELD_OUT, most, doc_id, "x")
+    sample = labelled_sample(docs.select(F.col(doc_id), F.struct(F.col(text).alias("t"), _length(docs, n_chars)).alias("x")), labels, label, fold("doc_id", FOLDS) != HELD_OUT, most, doc_id, "x")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

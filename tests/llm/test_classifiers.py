@@ -77,7 +77,6 @@ def distance(a, b):
 
 
 def test_automaton_equals_edit_distance():
-    import itertools
     import random
 
     terms = {"idiot": 1.0, "moron": 2.0, "pathetic": 3.0, "despicable": 4.0, "scum": 5.0, "idiotic": 6.0}
@@ -95,7 +94,6 @@ def test_automaton_equals_edit_distance():
         got, stem = automaton.match(w)
         assert got == pytest.approx(expected), w
         assert stem == (1.5 if w.startswith("réeu") and len(w) > 4 else 0.0)
-    del itertools
 
 
 def test_quotation_and_misspelling():

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-import tiktoken  # noqa: F401
 from tokenizers import Tokenizer
 
 from latticevec.llm import tokens
