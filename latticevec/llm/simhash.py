@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ SEED = 42
 #: Variants that a task sorts at once.
 SLICE = 1 << 21
 _CHUNK = 1 << 16
+_SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
@@ -43,15 +45,15 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
     Fewer words than ``width`` make one shingle; a text without words has fingerprint zero.
     """
-    words = text.lower().split()
-    if not words:
+    line = text.lower().translate(_SPACES).strip(b" ")
+    if b"  " in line:
+        line = re.sub(b"  +", b" ", line)
+    if not line:
         return 0
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = max(1, len(words) - width + 1)
-    digest, last = xxhash.xxh64_intdigest, ends[min(width, len(words)) - 1 :]
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])
+    n = max(1, len(starts) - width + 1)
+    digest, last = xxhash.xxh64_intdigest, ends[min(width, len(starts)) - 1 :]
     counts = np.zeros((8, 256), np.int64)
     for k in range(0, n, _CHUNK):
         pairs = zip(starts[k : min(n, k + _CHUNK)].tolist(), last[k : k + _CHUNK].tolist(), strict=True)
