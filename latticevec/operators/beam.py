@@ -27,6 +27,8 @@ from latticevec.operators.knn import expand, frontier, graph_edges, merge_beams,
 
 #: Bytes of vectors and graph that are broadcast at most.
 BROADCAST_BYTES = 512_000_000
+#: Queries that a task walks for, at most.
+QUERIES_A_TASK = 4096
 #: Fixed value: the first state of the random ids of query q is this many times q.
 SEED_STEP = 64
 RESULT = "qid long, id long, dist double"
@@ -101,7 +103,10 @@ def _in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: D
             neighbors[at] = numbers(np.array(near.values, dtype=np.int64)) if near.is_valid else neighbors[at]
     shared = queries.sparkSession.sparkContext.broadcast((ids, x, neighbors))
     start = entries.groupBy("qid").agg(F.collect_set(F.col("id").cast("long")).alias("seeds"))
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), "vec").join(start, "qid")
+    # Walks cost far more than their rows weigh, so they are dealt out by number, not by size.
+    n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // QUERIES_A_TASK), min(-(-n // 16), 2 * cores))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "vec").join(start, "qid").repartition(parts, "qid")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, neighbors = shared.value

@@ -263,7 +263,7 @@ def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config(**more) -> SearchConfig:
-    return SearchConfig.algorithm(**({"number": 1, "dims": 32, "degree": DEGREE, "n_candidates": 64, "topk": K, "search_width": 4, "point_ratio": 0.05} | more))
+    return SearchConfig.algorithm(**({"number": 1, "dims": 48, "degree": 32, "n_candidates": WIDTH, "topk": K, "search_width": 4, "point_ratio": 0.05} | more))
 
 
 def kd_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
