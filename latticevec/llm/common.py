@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticevec.lineage import checkpoint, shared_dir
+
+__all__ = ["KEY", "checkpoint", "fold", "labelled_sample", "mix64", "row_key", "segments", "shared_dir", "span_hashes", "spans", "table", "utf8", "word_hashes", "word_mask"]
+
 #: Text handled at once by the byte-level numpy scans; bounds their memory.
 SEGMENT_BYTES = 1 << 20
 
@@ -18,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="latticevec-"))
-    return configured or context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_key(doc_id: str, text: str) -> list[Column]:
     """Two non-null columns that identify a document: its id, and a hash of its text and of whether it has an id.
 

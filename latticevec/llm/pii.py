@@ -27,7 +27,7 @@ PATTERNS = {
     "date": r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     "phone": rf"(?:(?<!\d)\+\d{{1,3}}{_GAP})?(?:\(\d{{3}}\){_GAP}|(?<!\d)\d{{3}}[-. ])\d{{3}}[-. ]\d{{4}}(?!\d)|(?<!\d)\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)",
+    "card": r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![A-Za-z0-9])",
 }
 #: Days since 1900-01-01 that count as dates, 1900-01-01 to 2099-08-04: a square, so that a Feistel network covers it.
 DATE_SIDE = 270

@@ -150,7 +150,7 @@ class Words(dict):
         self.automaton, self.most = Automaton(lexicon), most
 
     def __missing__(self, word: str) -> tuple[float, float] | None:
-        found = self.automaton.match(word) if len(word) <= 64 else (0.0, 0.0)
+        found = self.automaton.match(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = value = found if found != (0.0, 0.0) else None
@@ -242,7 +242,7 @@ def learn_lexicon(texts: list[str], label: np.ndarray) -> Lexicon:
     terms = {w: 2.0 for w in TERMS} | {w: x for _, w, x in found if not w.endswith("*") and not any(w[:k] in stems for k in range(3, 9))}
     terms = {w: x for w, x in terms.items() if w not in rate[0] or rate[1][w] / total[1] > 8 * rate[0][w] / total[0]}
     near = Automaton(Lexicon(terms))
-    return Lexicon(terms, stems, {w for w in rate[0] if w not in terms and len(w) <= 64 and near.match(w)[0]})
+    return Lexicon(terms, stems, {w for w in rate[0] if w not in terms and near.match(w)[0]})
 
 
 def regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
