@@ -113,6 +113,11 @@ def _table_keys(numbers: np.ndarray, places: dict[int, np.ndarray], steps: np.nd
     return key ^ (key >> np.uint64(29))
 
 
+def _cell(key: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Where a key is looked up first: the high bits of its hash, as many as the table has."""
+    return (key >> np.uint64(65 - len(seen).bit_length())).astype(np.int64)
+
+
 def build(ids: list, texts: list[str], similarity: float = 0.8, target: float = 0.95, seed: int = 7, most_walks: int = 16) -> Index:
     """The index of some items; ``target`` is the rate at which copies at the largest edit distance must be found."""
     h, at = words([t.encode() for t in texts], 0)
@@ -142,8 +147,6 @@ def build(ids: list, texts: list[str], similarity: float = 0.8, target: float =
     if not each:
         return index
     flat, starts = words([t.encode() for t in [texts[k] for k in keep]], index.gap)
-    for r in range(most_walks):
-        _add_walk(index, flat, starts[:-1], r)
     # Edited copies of items, all of them up to 2,000, at the largest distance that counts.
     chosen = np.arange(len(each)) if len(each) <= 2000 else draw.choice(len(each), 2000, replace=False)
     copies, blank = [], np.zeros(index.gap, np.uint64)
@@ -157,6 +160,7 @@ def build(ids: list, texts: list[str], similarity: float = 0.8, target: float =
     text = np.concatenate(copies)
     numbers, found = number(index, text), np.zeros(len(chosen), bool)
     for r in range(most_walks):
+        _add_walk(index, flat, starts[:-1], r)
         index.walks = r + 1
         place, item = _candidates(index, text, numbers, begin, [r])
         found[np.searchsorted(begin, place[item == chosen[np.searchsorted(begin, place)]])] = True
@@ -174,8 +178,8 @@ def _add_walk(index: Index, flat: np.ndarray, starts: np.ndarray, r: int) -> Non
         for steps in index.steps[c, r]:
             key = _table_keys(numbers, mine, steps)
             order = np.argsort(key)
-            seen = np.zeros(1 << 16, bool)
-            seen[(key >> np.uint64(48)).astype(np.int64)] = True
+            seen = np.zeros(1 << max(12, (64 * len(key)).bit_length()), bool)
+            seen[_cell(key, seen)] = True
             tables.append((key[order], own[order], seen))
         index.keys[c, r] = tables
 
@@ -194,7 +198,7 @@ def _candidates(index: Index, h: np.ndarray, numbers: np.ndarray, alive: np.ndar
             start = alive if rows is None else alive[rows]
             for steps, (keys, own, seen) in zip(index.steps[c, r], index.keys[c, r], strict=True):
                 key = _table_keys(numbers, mine, steps)
-                maybe = np.flatnonzero(seen[(key >> np.uint64(48)).astype(np.int64)])
+                maybe = np.flatnonzero(seen[_cell(key, seen)])
                 low, high = np.searchsorted(keys, key[maybe], "left"), np.searchsorted(keys, key[maybe], "right")
                 many = high - low
                 if many.any():
