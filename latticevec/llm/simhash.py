@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticevec.llm.common import KEY, checkpoint, row_key, utf8
-from latticevec.llm.graph import connected_components
+from latticevec.llm.graph import connected_components, merge_labels
 
 SEED = 42
 #: Variants that a task sorts at once.
@@ -113,18 +113,6 @@ def _meet(fps: np.ndarray, used: np.ndarray, depth: int, radius: int) -> Iterato
         yield (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the sets of a and b in place; a label is the least index of its set."""
-    while True:
-        x, y = label[a], label[b]
-        if (differ := x != y).any():
-            np.minimum.at(label, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
-            while (deeper := label[label]) is not None and (deeper != label).any():
-                label[:] = deeper
-        else:
-            return
-
-
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints that join the same ones as all pairs at ``distance`` or fewer bits do.
 
@@ -143,7 +131,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         label = np.arange(len(fp))
         for a, b in _meet(fp, cost, prefix, radius):
             close = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-            _merge(label, a[close], b[close])
+            merge_labels(label, a[close], b[close])
         linked = np.flatnonzero(label != np.arange(len(fp)))
         return pa.table({"a": fp[label[linked]].view(np.int64), "b": fp[linked].view(np.int64)})
 

@@ -4,7 +4,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticevec.llm import simhash
+from latticevec.llm import graph, simhash
 from latticevec.llm.graph import connected_components
 
 
@@ -71,7 +71,9 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, limit):
     assert len(set(zip(got, expected, strict=True))) == len(set(got)) == len(set(expected))
 
 
-def test_components_of_shapes(spark):
+@pytest.mark.parametrize("most", [100_000, 20, 0])
+def test_components_of_shapes(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(1000, 1000 + i) for i in range(1, 30)]
     odd = [(5000, 5000), (None, 3), (7000, 7001), (7001, 7000)]
