@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -65,6 +66,8 @@ class Codec:
         self.base = tiktoken.Encoding("latticevec", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.pieces = regex.compile(PATTERN)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.longest = leaf // 4  # characters of a run: at most a leaf of bytes
+        self.spaces = re.compile(rf"\s{{{self.longest + 1}}}")
         self.pool = ThreadPoolExecutor(2)
 
     def piece(self, data: bytes) -> list[int]:
@@ -79,12 +82,23 @@ class Codec:
             level = [p[0] if len(p) == 1 else join(p[0], p[1], self.piece, self.base.decode_single_token_bytes) for p in pairs]
         return level[0] if level else []
 
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf or max(map(len, text.split()), default=0) * 4 <= self.leaf:
-            return self.base.encode(text, allowed_special="all")
+    def short_runs(self, text: str) -> bool:
+        """Whether no run of white space or of other characters is long, so that the library encodes the text at once."""
+        if len(text) <= self.leaf:
+            return True
+        words = text.split()
+        if max(map(len, words), default=0) > self.longest:
+            return False
+        # A long run leaves one space at least for each other gap between words; only texts with so much space are searched.
+        return len(text) - sum(map(len, words)) < self.longest + len(words) - 1 or not self.spaces.search(text)
+
+    def encode(self, text: str, special: bool = True) -> list[int]:
+        """The ids of a text; without ``special``, special tokens in it are ordinary text."""
+        if self.short_runs(text):
+            return self.base.encode(text, allowed_special="all") if special else self.base.encode_ordinary(text)
         out: list[int] = []
-        for part in self.cuts.split(text) if self.cuts else [text]:
-            if part in self.special:
+        for part in self.cuts.split(text) if special and self.cuts else [text]:
+            if special and part in self.special:
                 out.append(self.special[part])
                 continue
             for m in self.pieces.finditer(part):

@@ -48,11 +48,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, doc_id:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(vocabulary.value).base.encode_to_numpy
+        tool = codec(vocabulary.value)
         for batch in batches:
             made = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(value or "", allowed_special=set(), disallowed_special=())
+                value = value or ""
+                if tool.short_runs(value):
+                    ids = tool.base.encode_to_numpy(value, allowed_special=set(), disallowed_special=())
+                else:
+                    ids = np.array(tool.encode(value, special=False), np.uint32)
                 if len(ids) and ids.max() >= separator:
                     raise ValueError("the separator must be above all ids of the vocabulary")
                 made.append(np.concatenate([np.array(header(key)), ids]).astype(">u2").tobytes())

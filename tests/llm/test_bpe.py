@@ -44,6 +44,21 @@ def test_join(codec, left, right):
     assert bpe.join(codec.piece(left) if left else [], codec.piece(right) if right else [], codec.piece, token) == (codec.piece(left + right) if left + right else [])
 
 
+@pytest.mark.parametrize("text", [" " * 1_100_000, "a" + "\n" * 1_100_000 + "b", "a b " + " \n\t" * 400_000 + "c d"])
+def test_long_runs_of_white_space(codec, library, text):
+    assert not codec.short_runs(text)
+    assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_as_ordinary_text_in_long_texts(codec, library):
+    text = " " * 5000 + "<|endoftext|>" + "z" * 5000
+    library.encode_special_tokens = True
+    try:
+        assert codec.encode(text, special=False) == library.encode(text, add_special_tokens=False).ids
+    finally:
+        library.encode_special_tokens = False
+
+
 def test_decode_of_broken_bytes(codec, library):
     for ids in ([255], [227, 130], [50256, 13], list(range(200, 260))):
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)

@@ -54,6 +54,14 @@ def test_odd_rows(odd_docs, no_docs, docs_of):
     assert {r["doc_id"] for r in tokens.count_documents(docs_of([(i, "x<|endoftext|>") for i in ids]), VOCABULARY).collect()} == set(ids)
 
 
+def test_long_runs_of_white_space(docs_of):
+    library = Tokenizer.from_file(VOCABULARY)
+    library.encode_special_tokens = True
+    texts = ["a" + " " * 1_100_000 + "b", "\n" * 1_100_000, "<|endoftext|>" + "x" * 5000, "a b"]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_documents(docs_of(texts), VOCABULARY).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_separators_that_cannot_be_written_are_refused(docs_of, tmp_path):
     with pytest.raises(UnicodeDecodeError):
         tokens.write_token_files(docs_of(["a"]), str(tmp_path / "x"), VOCABULARY, separator=50257)
