@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GAP = r"[^\w\n]{0,6}"
+#: Fixed value: countries by the length of their account numbers (IBAN).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: What is looked for, by kind, in the order in which a place in the text is tried.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -100,17 +105,36 @@ def _mail(key: str) -> str:
     return f"concat({named(body)}, substring(m, instr(m, '@')))"
 
 
+def _iban_valid() -> str:
+    plain = "replace(m, ' ', '')"
+    return f"length({plain}) >= 15 AND " + _mod97(f"concat(substring({plain}, 5), substring({plain}, 1, 4))") + " = 1"
+
+
+def _accounts() -> Column:
+    """The valid account numbers of a text: those of their country's length first, then those of any length.
+
+    They are looked for from every place, since the longest match may run on into
+    the next word, and one that fails its test may hold another number.
+    """
+    kinds = []
+    for n, countries in IBAN_COUNTRIES.items():
+        groups, rest = divmod(n - 4, 4)
+        kinds.append(rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    shapes = (rf"\b(?=((?:{'|'.join(kinds)})\b))", rf"\b(?=({PATTERNS['iban']}))")
+    each = F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in shapes]))
+    return F.when(F.col("text").rlike(r"\b[A-Z]{2}\d{2}"), each)
+
+
 def _iban(key: str) -> str:
     plain = "replace(m, ' ', '')"
     test = "c RLIKE '[A-Z0-9]'"
     base = f"IF({_IS_DIGIT}, 48, 65)"
-    valid = f"length({plain}) >= 15 AND " + _mod97(f"concat(substring({plain}, 5), substring({plain}, 1, 4))") + " = 1"
     named = let(
         s=plain, cs=_CHARS.format("substring(s, 5)"), bs=f"transform(cs, c -> {base})", vs="transform(cs, (c, i) -> ascii(c) - bs[i])",
         rs="transform(bs, b -> IF(b = 48, 10, 26))", ps="transform(" + feistel("vs", "rs", "concat('iban', substring(s, 1, 2))", key) + ", (v, i) -> chr(v + bs[i]))",
         q="array_join(ps, '')", check="lpad(cast(98 - " + _mod97("concat(q, substring(s, 1, 2), '00')") + " AS string), 2, '0')", ws="filter(split(concat(substring(s, 1, 2), check, q), ''), c -> c <> '')", os=_CHARS.format("m"),
     )
-    return f"IF({valid}, {named(_refill('os', 'ws', test))}, m)"
+    return f"IF({_iban_valid()}, {named(_refill('os', 'ws', test))}, m)"
 
 
 def _ip(key: str) -> str:
@@ -168,14 +192,18 @@ def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     that fail their format's test, and all other text, stay as they are. Rows
     without an id and repeated rows stay; other columns are ignored.
     """
-    pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    mail, *others = [f"(?:{p})" for kind, p in PATTERNS.items() if kind != "iban"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     some = F.col("text").rlike("[0-9@]")
-    found = F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    rows = rows.withColumn("__lv_found", found)
+    rows = rows.withColumn("__lv_accounts", F.when(some, _accounts())).withColumn("__lv_accounts", F.expr(f"filter(__lv_accounts, m -> {_iban_valid()})"))
+    rest = "|".join(others)
+    # A text's valid accounts are part of its pattern; an invalid one is left to the other kinds.
+    accounts = F.concat(F.lit(rf"{mail}|\b(?:"), F.array_join("__lv_accounts", "|"), F.lit(rf")\b|{rest}"))
+    rows = rows.withColumn("__lv_pattern", F.when(F.size("__lv_accounts") > 0, accounts).otherwise(F.lit(f"{mail}|{rest}")))
+    rows = rows.withColumn("__lv_found", F.when(some, F.regexp_extract_all("text", F.col("__lv_pattern"), F.lit(0))))
     has = F.size("__lv_found") > 0
     rows = rows.withColumn("__lv_new", F.when(has, F.expr(f"transform(__lv_found, m -> {pseudonym(key)})")))
-    parts: Column = F.split("text", pattern, -1)
+    parts: Column = F.split("text", F.col("__lv_pattern"), -1)
     whole = F.array_join(F.zip_with(parts, F.col("__lv_new"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     changed = F.expr("size(filter(zip_with(__lv_found, __lv_new, (a, b) -> a <> b), x -> x))")
     return rows.select("doc_id", F.when(has, whole).otherwise(F.col("text")).alias("text"), F.when(has, changed).otherwise(0).cast("long").alias("n_replaced"))

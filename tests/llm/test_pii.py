@@ -63,6 +63,29 @@ def test_accounts_addresses_phones_mail(changed):
     assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{4}\d\d@example.com [a-z]{3}\.[a-z]{5}\d\d@EXAMPLE.com", mail)
 
 
+def valid_iban(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_accounts_before_other_words(changed):
+    at, es, de = "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"
+    texts = [f"{at} BIC BKAUATWW", f"pay {es} AND go", f"NR12 {at}", f"{de} {at} {es}", "NO9386011117947 X", "LC55HEMM000100010012001200023015 AB"]
+    out = changed(texts)
+    assert [n for _, n in out] == [1, 1, 1, 3, 1, 1]
+    (a, _), (b, _), (c, _), (d, _), (e, _), (f, _) = out
+    assert re.fullmatch(r"AT(?:\d\d)(?: \d{4}){4} BIC BKAUATWW", a) and at not in a and valid_iban(a[:24])
+    assert re.fullmatch(r"pay ES\d\d(?: \d{4}){5} AND go", b) and es not in b and valid_iban(b[4:-7])
+    assert c == "NR12 " + a[:24] and d.endswith(f" {a[:24]} {b[4:-7]}") and valid_iban(d[:27])
+    assert valid_iban(e[:-2]) and valid_iban(f[:-3]) and e[:-2] not in texts[4] and f[:-3] not in texts[5]
+
+
+def test_cards_within_invalid_accounts(changed):
+    (a, n), (b, m), (c, k) = changed(["NR12 4111 1111 1111 1111", "AB12 1111 2222 3333 4445 4111 1111 1111 1111 end", "4111 1111 1111 1111"])
+    assert (n, m, k) == (1, 1, 1) and a == "NR12 " + c and luhn(c)
+    assert b == f"AB12 1111 2222 3333 4445 {c} end"
+
+
 def slow_feistel(values, radices, tweak, key):
     import hashlib
 
