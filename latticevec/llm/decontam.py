@@ -10,9 +10,12 @@ embedded by the CGK random walk: at step t the walk writes the word under it
 and moves on by a random bit of (t, word). After an edit the walks of two
 similar sequences soon meet again, so a small edit distance becomes a small
 Hamming distance, and tables keyed by a few sampled steps of the walk collect
-candidates. How many walks there are is settled by a simulation: edited copies
-of the items, at the largest distance that counts, must be found at the target
-rate. Candidates are then verified by the exact edit distance.
+candidates. How many walks there are is settled by a simulation for each class
+of similar lengths: edited copies of its items, at the largest distance that
+counts, must be found at the target rate. Candidates are then verified by the
+exact edit distance. Classes that miss the rate, or have few items for their
+length, are searched exactly: the windows that hold enough words of an item are
+aligned with it.
 
 Windows that hold fewer benchmark words than any match must hold are not
 embedded; that test loses no match.
@@ -65,10 +68,10 @@ class Index:
     bitmap: np.ndarray
     has: np.ndarray  # (item, word): True if the word is in the item
     classes: list[tuple[int, int, np.ndarray]] = field(default_factory=list)  # least and most words, items
-    walks: int = 0
+    walks: dict[int, int] = field(default_factory=dict)  # by class; none for those searched exactly
     steps: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)  # (class, walk): sampled steps by table
     keys: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=dict)
-    recall: float = 0.0
+    recall: float = 0.0  # the least of all classes
 
     @property
     def gap(self) -> int:
@@ -146,56 +149,72 @@ def build(ids: list, texts: list[str], similarity: float = 0.8, target: float =
             index.steps[c, r] = np.sort(np.array([draw.choice(max(SAMPLED, int(1.6 * least)), SAMPLED, replace=False) for _ in range(TABLES)]), axis=1)
     if not each:
         return index
-    flat, starts = words([t.encode() for t in [texts[k] for k in keep]], index.gap)
-    # Edited copies of items, all of them up to 2,000, at the largest distance that counts.
-    chosen = np.arange(len(each)) if len(each) <= 2000 else draw.choice(len(each), 2000, replace=False)
-    copies, blank = [], np.zeros(index.gap, np.uint64)
-    for k in chosen:
-        x = list(each[k])
-        for _ in range(int(index.allowed(len(x)))):
-            p, kind = int(draw.integers(len(x))), int(draw.integers(3))
-            x[p : p + (kind != 2)] = [] if kind == 0 else [np.uint64(draw.integers(1, 1 << 63))]
-        copies += [np.array(x, np.uint64), blank]
-    begin = np.cumsum([0] + [len(x) for x in copies])[:-1:2]
-    text = np.concatenate(copies)
-    numbers, found = number(index, text), np.zeros(len(chosen), bool)
-    for r in range(most_walks):
-        _add_walk(index, flat, starts[:-1], r)
-        index.walks = r + 1
-        place, item = _candidates(index, text, numbers, begin, [r])
-        found[np.searchsorted(begin, place[item == chosen[np.searchsorted(begin, place)]])] = True
-        index.recall = float(found.mean())
-        if index.recall >= target:
-            break
+    recalls, blank = [1.0], np.zeros(index.gap, np.uint64)
+    for c, (least, _, own) in enumerate(index.classes):
+        if len(own) * 16 <= least:  # to align these costs less than one walk
+            continue
+        flat, starts = _spread([each[k] for k in own], blank)
+        # Edited copies of the class's items, 200 to 2,000, at the largest distance that counts.
+        chosen = np.resize(own, max(200, len(own))) if len(own) <= 2000 else draw.choice(own, 2000, replace=False)
+        copies = []
+        for k in chosen:
+            x = list(each[k])
+            for _ in range(int(index.allowed(len(x)))):
+                p, kind = int(draw.integers(len(x))), int(draw.integers(3))
+                x[p : p + (kind != 2)] = [] if kind == 0 else [np.uint64(draw.integers(1, 1 << 63))]
+            copies.append(np.array(x, np.uint64))
+        text, begin = _spread(copies, blank)
+        numbers, found = number(index, text), np.zeros(len(chosen), bool)
+        for r in range(most_walks):
+            _add_walk(index, flat, starts, c, r)
+            place, item = _candidates(index, text, numbers, begin, [r], {c: np.arange(len(begin))})
+            which = np.searchsorted(begin, place)
+            found[which[item == chosen[which]]] = True
+            if found.mean() >= target:
+                index.walks[c] = r + 1
+                recalls.append(float(found.mean()))
+                break
+        else:
+            for r in range(most_walks):
+                del index.keys[c, r]
+    index.recall = min(recalls)
     return index
 
 
-def _add_walk(index: Index, flat: np.ndarray, starts: np.ndarray, r: int) -> None:
-    numbers = number(index, flat)
-    places = walk(flat, starts.astype(np.int64), np.unique(np.concatenate([index.steps[c, r].ravel() for c in range(len(index.classes))])), r)
-    for c, (_, _, own) in enumerate(index.classes):
-        mine, tables = {t: x[own] for t, x in places.items()}, []
-        for steps in index.steps[c, r]:
-            key = _table_keys(numbers, mine, steps)
-            order = np.argsort(key)
-            seen = np.zeros(1 << max(12, (64 * len(key)).bit_length()), bool)
-            seen[_cell(key, seen)] = True
-            tables.append((key[order], own[order], seen))
-        index.keys[c, r] = tables
+def _spread(parts: list[np.ndarray], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All parts, each followed by a gap, and where each begins."""
+    begin = np.cumsum([0] + [len(x) + len(blank) for x in parts])[:-1]
+    return np.concatenate([y for x in parts for y in (x, blank)]), begin.astype(np.int64)
+
 
+def _add_walk(index: Index, flat: np.ndarray, starts: np.ndarray, c: int, r: int) -> None:
+    numbers, own, tables = number(index, flat), index.classes[c][2], []
+    places = walk(flat, starts, np.unique(index.steps[c, r]), r)
+    for steps in index.steps[c, r]:
+        key = _table_keys(numbers, places, steps)
+        order = np.argsort(key)
+        seen = np.zeros(1 << max(12, (64 * len(key)).bit_length()), bool)
+        seen[_cell(key, seen)] = True
+        tables.append((key[order], own[order], seen))
+    index.keys[c, r] = tables
 
-def _candidates(index: Index, h: np.ndarray, numbers: np.ndarray, alive: np.ndarray, walks: list[int], passing: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def _candidates(index: Index, h: np.ndarray, numbers: np.ndarray, alive: np.ndarray, walks: list[int], passing: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(window start, item) pairs that share a table's key, each once; passing: by class, which of ``alive`` count."""
     out, items = [], len(index.ids)
     for r in walks:
-        wanted = np.unique(np.concatenate([index.steps[c, r].ravel() for c in range(len(index.classes))]))
-        places = walk(h, alive, wanted, r)
-        for c in range(len(index.classes)):
-            rows = None if passing is None else passing[c]
-            if rows is not None and not len(rows):
-                continue
-            mine = places if rows is None else {int(t): places[int(t)][rows] for t in np.unique(index.steps[c, r])}
-            start = alive if rows is None else alive[rows]
+        on = [c for c in passing if (c, r) in index.keys and len(passing[c])]
+        if not on:
+            continue
+        some = np.zeros(len(alive), bool)
+        for c in on:
+            some[passing[c]] = True
+        rank = np.cumsum(some) - 1
+        places = walk(h, alive[some], np.unique(np.concatenate([index.steps[c, r].ravel() for c in on])), r)
+        for c in on:
+            rows = rank[passing[c]]
+            mine = {int(t): places[int(t)][rows] for t in np.unique(index.steps[c, r])}
+            start = alive[passing[c]]
             for steps, (keys, own, seen) in zip(index.steps[c, r], index.keys[c, r], strict=True):
                 key = _table_keys(numbers, mine, steps)
                 maybe = np.flatnonzero(seen[_cell(key, seen)])
@@ -230,6 +249,28 @@ def edit_distances(index: Index, numbers: np.ndarray, h: np.ndarray, start: np.n
     return best, size
 
 
+def aligned(index: Index, numbers: np.ndarray, start: np.ndarray, item: int) -> list[int]:
+    """For each run of neighbouring window starts, the first with the least edit distance, if that is allowed; exact."""
+    n, out = int(index.length[item]), []
+    d = int(index.allowed(n))
+    held = np.zeros(len(numbers) + 1, np.int32)
+    np.cumsum(index.has[item][numbers], out=held[1:])
+    start = start[held[start + n] - held[start] >= n - d]
+    for run in np.split(start, np.flatnonzero(np.diff(start) > n + d) + 1) if len(start) else []:
+        text = numbers[run[0] : run[-1] + n + d][::-1]  # backwards, so that a match may end anywhere and its start is known
+        ramp = np.arange(len(text) + 1, dtype=np.int32)
+        now = np.zeros_like(ramp)
+        for i, word in enumerate(index.items[item, :n][::-1]):
+            new = np.empty_like(now)
+            new[0] = i + 1
+            np.minimum(now[:-1] + (text != word), now[1:] + 1, out=new[1:])
+            now = np.minimum.accumulate(new - ramp) + ramp
+        best = now[len(text) - (run - run[0])]
+        if best.min() <= d:
+            out.append(int(run[best.argmin()]))
+    return out
+
+
 def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, first word, words) for every text and item that it leaks: the least distance, the first such place."""
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -255,8 +296,8 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
                 continue
             pad = np.concatenate([h, np.zeros(index.gap, np.uint64)])
             padded = np.concatenate([numbers, np.full(index.gap, -2, np.int32)])
-            rows = [np.flatnonzero(ok[alive]) for ok in passes]
-            start, item = _candidates(index, pad, padded, alive, list(range(index.walks)), rows)
+            rows = {c: np.flatnonzero(ok[alive]) for c, ok in enumerate(passes)}
+            start, item = _candidates(index, pad, padded, alive, list(range(max(index.walks.values(), default=0))), rows)
             good = np.zeros(len(start), bool)
             for n in np.unique(index.length[item]):
                 same = np.flatnonzero(index.length[item] == n)
@@ -264,6 +305,8 @@ def search(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, i
                     held = index.has[item[part][:, None], padded[start[part][:, None] + np.arange(n)]].sum(axis=1)
                     good[part] = held >= n - index.allowed(n)
             start, item = start[good], item[good]
+            sure = [(s, k) for c, (_, _, own) in enumerate(index.classes) if c not in index.walks and len(rows[c]) for k in own for s in aligned(index, padded, alive[rows[c]], k)]
+            start, item = np.append(start, np.array([s for s, _ in sure], np.int64)), np.append(item, np.array([k for _, k in sure], np.int64))
             distance, size = edit_distances(index, padded, pad, start, item)
             for k in np.flatnonzero(distance <= index.allowed(index.length[item])):
                 text = int(np.searchsorted(at, first + start[k], "right")) - 1

@@ -87,6 +87,26 @@ def test_recall_at_the_largest_distance():
     assert found >= 0.9 * total
 
 
+def test_every_length_is_found():
+    wide = lambda n, seed: " ".join(f"w{random.Random(seed * 10_000 + i).randrange(5000)}" for i in range(n))
+    items = [wide(16, n) for n in range(300)] + [wide(300, n) for n in range(1000, 1020)] + [wide(1500, 7)]
+    index = decontam.build(list(range(len(items))), items)
+    assert index.recall >= 0.95 and len(index.classes) == 3 and 2 not in index.walks
+    planted = list(range(300, 321))
+    docs = [f"{text_of(30, k)} {changed(items[k], int(0.2 * len(items[k].split())), k)} {text_of(30, k + 1)}" for k in planted]
+    found = {(f[0], f[1]) for f in decontam.search(index, [d.encode() for d in docs])}
+    assert sum((i, k) in found for i, k in enumerate(planted)) >= 18 and (20, 320) in found
+
+
+def test_a_class_that_misses_the_rate_is_searched_exactly():
+    items = [text_of(n, n) for n in range(20, 40)]
+    docs = [f"{text_of(30, k)} {changed(t, int(0.2 * len(t.split())), 50 + k)} {text_of(30, k)}" for k, t in enumerate(items)]
+    index = decontam.build(list(range(len(items))), items, most_walks=0)
+    assert not index.walks and index.recall == 1
+    got = {f[:2]: f[2:] for f in decontam.search(index, [d.encode() for d in docs])}
+    assert {k: v[0] for k, v in got.items()} == brute(docs, items)
+
+
 def test_stretches_and_shards_change_nothing(spark, docs_of, monkeypatch):
     items = [text_of(n, n) for n in (15, 25, 40)]
     docs = [" ".join([text_of(97, 1), items[0], text_of(113, 2), items[1], text_of(55, 3), items[2], items[0], text_of(70, 4)])]
