@@ -4,7 +4,7 @@ import re
 import pytest
 
 from latticevec.llm import pii
-from latticevec.llm.queries import QUERIES
+from latticevec.llm.queries import PII_KEY, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -43,10 +43,51 @@ def test_dates_stay_dates(changed):
     days = [datetime.date(1999, 1, 1) + datetime.timedelta(k) for k in range(500)]
     out = [t for t, _ in changed([str(d) for d in days])]
     assert len({datetime.date.fromisoformat(t) for t in out}) == 500
-    (a, n), (b, m) = changed(["1999-12-31 31/12/1999 31.12.1999", "1999-02-31 and 2099-12-31"])
-    iso, slash, dot = a.split()
-    assert n == 3 and slash == "/".join(iso.split("-")[::-1]) and dot == ".".join(iso.split("-")[::-1])
-    assert (b, m) == ("1999-02-31 and 2099-12-31", 0)
+    (a, n), (b, m) = changed(["1999-12-31 31/12/1999 31.12.1999 12/31/1999", "1999-02-31 and 31/31/2000 and 2099-12-31"])
+    iso, slash, dot, month_first = a.split()
+    assert n == 4 and slash == "/".join(iso.split("-")[::-1]) and dot == ".".join(iso.split("-")[::-1])
+    assert month_first == "{1}/{2}/{0}".format(*iso.split("-")) and int(iso[-2:]) > 12
+    assert b.startswith("1999-02-31 and 31/31/2000 and ") and not b.endswith("2099-12-31") and m == 1
+
+
+def test_all_dates_are_permuted_within_their_class(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'1900-01-01', DATE'2099-12-31', INTERVAL 3 DAYS)) AS d")
+    days = days.union(spark.sql("SELECT explode(sequence(DATE'2098-01-01', DATE'2099-12-31')) AS d")).distinct()
+    rows = pii.pseudonymise(days.selectExpr("bigint(day(d)) AS doc_id", "string(d) AS text"), "k").collect()
+    out = [datetime.date.fromisoformat(r["text"]) for r in rows]
+    assert len(set(out)) == len(out) > 24_000 and all((d.day <= 12) == (r["doc_id"] <= 12) for d, r in zip(out, rows, strict=True))
+    assert pii.EARLY[0] * pii.EARLY[1] == 200 * 12 * 12 and pii.LATE == (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days - 200 * 144
+
+
+def test_one_number_whatever_its_separators(changed):
+    texts = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "555-123-4567", "+442079460958", "+44 20 7946 0958", "+35312345678"]
+    out = [t for t, _ in changed(texts)]
+    digits = [re.sub(r"\D", "", t) for t in out]
+    assert digits[0] == digits[1] == digits[2] == "1" + digits[3] and digits[0] != "15551234567"
+    assert digits[4] == digits[5] and out[4].startswith("+44") and out[6].startswith("+353")
+    assert [re.sub(r"\d", "0", t) for t in out] == [re.sub(r"\d", "0", t) for t in texts]
+
+
+def test_very_long_values(changed):
+    texts = ["x@" + "a." * 100_000 + "com", "b" * 50_000 + "@x.com", "b" * 200_000 + "@", "1" * 200_000, "+1" + " 555" * 50_000, "1.2.3.4." * 40_000, "AB12 " * 40_000, "2000-01-01-" * 20_000, "(" * 100_000]
+    out = changed(texts)
+    assert out[0][0].endswith(texts[0][1:]) and out[0][0] != texts[0] and out[0][1] == 1
+    assert re.fullmatch(r"[a-z]{50000}@x\.com", out[1][0]) and len({out[1][0][k : k + 16] for k in range(0, 50_000 - 16, 16)}) > 3000
+    assert [len(t) for t, _ in out] == [len(t) for t in texts] and out[2][0] == texts[2] and out[3][0] == texts[3] and out[8] == (texts[8], 0)
+
+
+def test_mail_hosts(changed):
+    out = changed(["bob@example.com1 a1@b.co.9x q@x1 bob@site.org.", "bob@x.y bob@x.yz-a.b"])
+    assert [n for _, n in out] == [3, 1]
+    assert re.fullmatch(r"[a-z]{3}@example\.com1 [a-z]\d@b\.co\.9x q@x1 [a-z]{3}@site\.org\.", out[0][0])
+
+
+def test_the_key_is_not_in_the_plan(spark, docs_of):
+    out = pii.pseudonymise(docs_of(["4111111111111111"]), "topsecretvalue")
+    out.collect()
+    execution = out._jdf.queryExecution()
+    plans = execution.toString() + execution.optimizedPlan().toString() + execution.executedPlan().toString()
+    assert "topsecretvalue" not in plans and "Python" not in plans
 
 
 def test_accounts_addresses_phones_mail(changed):
@@ -94,14 +135,111 @@ def slow_feistel(values, radices, tweak, key):
         first = r % 2 == 1
         other = ",".join(str(x) for j, x in enumerate(acc) if (j < half) != first)
         d = hashlib.sha256(f"{key}|{tweak}|{len(acc)}|{r}|{other}".encode()).hexdigest()
-        acc = [(v + int(d[4 * (i % 16) : 4 * (i % 16) + 4], 16)) % radices[i] if (i < half) == first else v for i, v in enumerate(acc)]
+        ds = [d if b == 0 else hashlib.sha256(f"{d}|{b}".encode()).hexdigest() for b in range(-(-len(acc) // 16))]
+        acc = [(v + int(ds[i // 16][4 * (i % 16) :][:4], 16)) % radices[i] if (i < half) == first else v for i, v in enumerate(acc)]
     return acc
 
 
 def test_feistel_equals_another_implementation(spark):
-    values = [3, 1, 4, 1, 5, 9, 2, 6, 5]
-    sql = pii.feistel("digits", "transform(digits, x -> 10)", "'t'", "it's \\ a key")
-    assert spark.createDataFrame([(values,)], "digits array<int>").selectExpr(f"{sql} AS o").first()["o"] == slow_feistel(values, [10] * 9, "t", "it's \\ a key")
+    key = "it's \\ a key"
+    for values in ([3, 1, 4, 1, 5, 9, 2, 6, 5], [7], list(range(10)) * 5):
+        sql = pii.feistel("digits", "10", "'t'", "k")
+        assert spark.createDataFrame([(values, key)], "digits array<int>, k string").selectExpr(f"{sql} AS o").first()["o"] == slow_feistel(values, [10] * len(values), "t", key)
+
+
+def slow_refill(text, news, kind):
+    it = iter(news)
+    return re.sub(f"[{kind}]", lambda _: str(next(it)), text)
+
+
+def slow_letters(text, tweak, key):
+    bases = [48 if c.isdigit() else 65 if c.isupper() else 97 for c in text]
+    moved = slow_feistel([ord(c) - b for c, b in zip(text, bases, strict=True)], [10 if b == 48 else 26 for b in bases], tweak, key)
+    return "".join(chr(v + b) for v, b in zip(moved, bases, strict=True))
+
+
+def slow_pair(n, sides, key):
+    a, b = slow_feistel([n // sides[1], n % sides[1]], sides, "date", key)
+    return a * sides[1] + b
+
+
+def slow_date(m, key):
+    forms = ["%Y-%m-%d"] if "-" in m else ["%d/%m/%Y", "%m/%d/%Y"] if "/" in m else ["%d.%m.%Y", "%m.%d.%Y"]
+    for form in forms:
+        try:
+            day = datetime.datetime.strptime(m, form).date()
+        except ValueError:
+            continue
+        span = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(73049)]
+        early = [d for d in span if d.day <= 12]
+        if day.day <= 12:
+            return early[slow_pair(early.index(day), pii.EARLY, key)].strftime(form)
+        late = [d for d in span if d.day > 12]
+        n = slow_pair(late.index(day), pii.LATE_SIDES, key)
+        while n >= len(late):
+            n = slow_pair(n, pii.LATE_SIDES, key)
+        return late[n].strftime(form)
+    return m
+
+
+def slow_pseudonym(m, key):
+    digits = [int(c) for c in m if c.isdigit()]
+    if "@" in m:
+        name, host = m.split("@")
+        return slow_refill(name, slow_letters(re.sub("[^A-Za-z0-9]", "", name), "mail", key), "A-Za-z0-9") + "@" + host
+    if re.match("[A-Z]", m):
+        s = m.replace(" ", "")
+        body = slow_letters(s[4:], "iban" + s[:2], key)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + s[:2] + "00")) % 97
+        return slow_refill(m, f"{s[:2]}{check:02d}{body}", "A-Z0-9")
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", m):
+        return ".".join(map(str, slow_feistel([int(x) for x in m.split(".")], [256] * 4, "ip", key)))
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4}", m):
+        return slow_date(m, key)
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        area, group, serial = m.split("-")
+        if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000":
+            return m
+        areas = [x for x in range(1, 900) if x != 666]
+        a, g, n = slow_feistel([areas.index(int(area)), int(group) - 1, int(serial) - 1], [898, 99, 9999], "ssn", key)
+        return f"{areas[a]:03d}-{g + 1:02d}-{n + 1:04d}"
+    if m[0] in "+(" or re.fullmatch(r"\d{3}[-. ]\d{3}[-. ]\d{4}", m):
+        code = len(re.match(pii.CALLING_CODES + "|[0-9]{3}", "".join(map(str, digits)))[0]) if m[0] == "+" else 0
+        return slow_refill(m, digits[:code] + slow_feistel(digits[code:], [10] * len(digits), "phone", key), "0-9")
+    if not luhn(m):
+        return m
+    moved = slow_feistel(digits[:-1], [10] * len(digits), "card", key)
+    check = next(c for c in range(10) if luhn("".join(map(str, [*moved, c]))))
+    return slow_refill(m, [*moved, check], "0-9")
+
+
+def slow(text, key):
+    """The whole query for one text, in plain Python."""
+    shapes = [rf"\b(?=({c}\d\d(?: ?[A-Z0-9]){{{n - 4}}}\b))" for n, cs in pii.IBAN_COUNTRIES.items() for c in cs.split()] + [rf"\b(?=({pii.PATTERNS['iban']}))"]
+    accounts = []
+    for shape in shapes if re.search(r"\b[A-Z]{2}\d{2}", text) else []:
+        for found in re.finditer(shape, text):
+            if re.fullmatch(pii.PATTERNS["iban"], found[1]) and valid_iban(found[1]) and len(found[1].replace(" ", "")) >= 15 and found[1] not in accounts:
+                accounts.append(found[1])
+    kinds = dict(pii.PATTERNS, iban=rf"\b(?:{'|'.join(accounts)})\b" if accounts else "(?!)")
+    pattern = "|".join(f"(?:{p})" for p in kinds.values()).replace(r"([ -])\d{4}\1\d{4}\1", r"(?P<a>[ -])\d{4}(?P=a)\d{4}(?P=a)").replace(r"([ -])\d{6}\2", r"(?P<b>[ -])\d{6}(?P=b)")
+    n = 0
+
+    def put(m):
+        nonlocal n
+        new = slow_pseudonym(m[0], key)
+        n += new != m[0]
+        return new
+
+    return re.sub(pattern, put, text, flags=re.ASCII), n
+
+
+def test_query_equals_plain_python(spark, sf_dir, docs_of):
+    extra = ["Pay 4111 1111 1111 1111 or DE89 3704 0044 0532 0130 00, 12/31/1990, 31.12.1990, 2099-12-31", "+44 20 7946 0958 123-45-6789 10.20.30.40 Bob.Smith9@example.com (555) 123-4567"]
+    assert {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.pseudonymise(docs_of(extra), "k").collect()} == {i: slow(t, "k") for i, t in enumerate(extra)}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id").text
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in QUERIES["op6_pii"](spark, sf_dir).collect()}
+    assert got == {i: slow(t, PII_KEY) for i, t in docs.items()} and sum(n for _, n in got.values()) > 20
 
 
 def test_tables_hold_no_original(spark, sf_dir):
