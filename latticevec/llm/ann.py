@@ -1,41 +1,52 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
-A vector is turned by a pseudo-random rotation, made of random signs and fast
-Hadamard transforms, and hashed to the signed axis that is nearest. Each table
-has rotations of its own. A query looks into the buckets of the axes nearest to
-it, in the order of their nearness, and everything found there is scored
-exactly.
+A vector is turned by pseudo-random rotations, made of random signs and fast
+Hadamard transforms, and each of them gives the signed axis that is nearest.
+The axes together are the vector's bucket. As many rotations are used, the last
+of them over as few axes, as leave a handful of rows in a bucket, so buckets
+become more as the table grows and not fuller. A query looks into the buckets
+whose axes are nearest to it together, in that order, and everything found
+there is scored exactly.
 
 Largest inner product is turned into smallest angle by one more component that
 gives all vectors the length of the longest; a query has a zero there.
 
-How many buckets a query looks into is measured on a sample, whose vectors must
-meet their nearest neighbours there at the target rate.
+How many buckets a query looks into is measured: for some queries the true
+neighbours are found by a scan of all rows, and so many are probed as find them
+at the target rate. Where that would be more work than to look at all rows, all
+rows are looked at, and so they are for queries that find too few.
 
-Rows and queries of a bucket meet in blocks of bounded size, so no bucket,
-however many equal vectors it holds, is one task's.
+Equal vectors are searched as one, with the least of their ids, which are all
+that can be among the nearest. Buckets are dealt out in groups; rows and queries
+of a group meet in blocks of bounded size, however full it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from latticevec.llm.common import checkpoint
 
 TABLES = 10
-#: Rows that the number of probes is measured on, at most.
-SAMPLE = 2000
-#: Rows, and queries, that meet at once.
-BLOCK = 1024
-TARGET = 0.96
-#: Rows up to which a table hashes by one rotation, and by two beyond it.
-ONE_ROTATION = 2_000_000
+TARGET = 0.93
+#: Queries that the number of probes is measured on, and rows whose products tell what can't be among the nearest, at most.
+SAMPLE, SAMPLE_ROWS = 200, 2000
+#: Rows, and queries, of a task.
+TASK_ROWS, TASK_QUERIES = 16_384, 512
+#: Rows of a bucket, and of a group of buckets, on average; rows and queries that meet at once, at most.
+BUCKET_ROWS, GROUP_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 6, 2048, 4096, 1024
+#: Rows up to which all are looked at.
+FEW = 4096
+#: Groups of more than a block that are broadcast at most (24 bytes each).
+BROADCAST_GROUPS = 1_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -48,25 +59,42 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def widths(rows: int, width: int) -> list[int]:
+    """The axes of each rotation: all, and for the last so many that a bucket has about BUCKET_ROWS rows."""
+    out, left = [], rows / BUCKET_ROWS
+    while left > 2:
+        out.append(min(width, 1 << max(0, round(np.log2(left / 2)))))
+        left /= 2 * out[-1]
+    return out
+
+
 @dataclass
 class Hash:
-    """The rotations of all tables; of a fixed size."""
+    """The rotations of all tables; of a fixed size. Without rotations there is one bucket."""
 
     dim: int
     longest: float
     even: bool  # all vectors have the same length
-    rotations: int
+    parts: list[int]  # axes of each rotation
+    groups: int = 1
     probes: int = 1
     tables: int = TABLES
+    recall: float = 1.0  # as measured
     seed: int = 11
 
-    @property
-    def width(self) -> int:
-        return 1 << (self.dim - self.even).bit_length() if self.dim > 1 else 2
+    @staticmethod
+    def width(dim: int, even: bool) -> int:
+        return 1 << (dim - even).bit_length() if dim > 1 else 2
 
-    def turned(self, x: np.ndarray, query: bool) -> Iterator[np.ndarray]:
-        """For each table: (row, rotation, signed axis) nearness, the positive axes first."""
-        unit = np.zeros((len(x), self.width))
+    @property
+    def size(self) -> int:
+        """Buckets of a table."""
+        return int(np.prod([2 * w for w in self.parts], dtype=object)) if self.parts else 1
+
+    def turned(self, x: np.ndarray, query: bool) -> Iterator[list[np.ndarray]]:
+        """For each table and rotation: (row, signed axis) nearness, the positive axes first."""
+        width = self.width(self.dim, self.even)
+        unit = np.zeros((len(x), width))
         norm = np.linalg.norm(x, axis=1)
         unit[:, : x.shape[1]] = x / (norm if query or self.even else np.full(len(x), self.longest))[:, None]
         if not query and not self.even:
@@ -74,34 +102,51 @@ class Hash:
         draw = np.random.default_rng(self.seed)
         for _ in range(self.tables):
             each = []
-            for _ in range(self.rotations):
+            for axes in self.parts:
                 y = unit
-                for signs in draw.choice([-1.0, 1.0], (3, self.width)):
+                for signs in draw.choice([-1.0, 1.0], (3, width)):
                     y = hadamard(y * signs)
-                each.append(np.concatenate([y, -y], axis=1))
-            yield np.stack(each, axis=1)
+                each.append(np.concatenate([y[:, :axes], -y[:, :axes]], axis=1))
+            yield each
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
-        """(row, table): the bucket of each row."""
-        base = (2 * self.width) ** np.arange(self.rotations)
-        return np.stack([y.argmax(axis=2) @ base for y in self.turned(x, False)], axis=1) if len(x) else np.zeros((0, self.tables), int)
-
-    def order(self, y: np.ndarray, most: int) -> np.ndarray:
-        """(row, probe): the buckets nearest to turned queries, nearest first."""
-        if self.rotations == 1:
-            return np.argsort(-y[:, 0], axis=1, kind="stable")[:, :most]
-        near = max(2, int(np.ceil(np.sqrt(most))) * 2)
-        axes = np.argsort(-y, axis=2, kind="stable")[:, :, :near]
-        value = np.take_along_axis(y, axes, axis=2)
-        sums = (value[:, 0, :, None] + value[:, 1, None, :]).reshape(len(y), -1)
-        both = (axes[:, 0, :, None] + 2 * self.width * axes[:, 1, None, :]).reshape(len(y), -1)
-        return np.take_along_axis(both, np.argsort(-sums, axis=1, kind="stable")[:, :most], axis=1)
-
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        """(row, table, probe): where queries look."""
-        if not len(x):
-            return np.zeros((0, self.tables, self.probes), int)
-        return np.stack([self.order(y, self.probes) for y in self.turned(x, True)], axis=1)
+        """(row, table): the bucket of each row; the first rotation counts most."""
+        out = np.zeros((len(x), self.tables), np.int64)
+        for t, each in enumerate(self.turned(x, False)):
+            for y in each:
+                out[:, t] = out[:, t] * y.shape[1] + y.argmax(axis=1)
+        return out
+
+    def order(self, each: list[np.ndarray], most: int) -> np.ndarray:
+        """(row, probe): the ``most`` buckets that are nearest to turned queries by the sum of their axes' nearness."""
+        n = len(each[0]) if each else 0
+        total, code = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
+        for y in each:
+            total = (total[:, :, None] + y[:, None, :]).reshape(n, -1)
+            code = (code[:, :, None] * y.shape[1] + np.arange(y.shape[1])).reshape(n, -1)
+            if total.shape[1] > most:  # no bucket behind the first ``most`` of the first rotations is among the first of all
+                best = np.argpartition(-total, most - 1, axis=1)[:, :most]
+                total, code = np.take_along_axis(total, best, axis=1), np.take_along_axis(code, best, axis=1)
+        return code
+
+    def rank(self, each: list[np.ndarray], queries: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """For pairs of turned queries and buckets: how many buckets are nearer to the query."""
+        axes, rest = [], bucket.copy()
+        for y in reversed(each):
+            axes.append(rest % y.shape[1])
+            rest //= y.shape[1]
+        own = sum(y[queries, a] for y, a in zip(each, reversed(axes), strict=True))
+        sums = lambda part, q: np.sort(reduce(np.add.outer, [y[q] for y in part], np.zeros(())).ravel())
+        half, out = (len(each) + 1) // 2, np.zeros(len(queries), np.int64)
+        for q in np.unique(queries):
+            one, two = sums(each[:half], q), sums(each[half:], q)
+            for k in np.flatnonzero(queries == q):
+                out[k] = (len(one) - np.searchsorted(one, own[k] - two + 1e-12, "right")).sum()
+        return out
+
+    def group(self, bucket: np.ndarray) -> np.ndarray:
+        """The group of each bucket: neighbours by the first rotation are together."""
+        return (bucket * (self.groups / self.size)).astype(np.int64)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -117,106 +162,185 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def measured(sample: np.ndarray, rows: int, k: int, dim: int, longest: float, even: bool, target: float) -> Hash:
-    """The hash whose probes find the sample's nearest neighbours at the target rate.
+def best_of(y: np.ndarray, x: np.ndarray, ids: np.ndarray, row: np.ndarray, col: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): the k best of each query's pairs, ties to the smaller id. Products are summed in a fixed order, so that ties are ties wherever they stand."""
+    score = np.concatenate([(y[row[a : a + 65536]] * x[col[a : a + 65536]]).sum(axis=1) for a in range(0, len(row), 65536)]) if len(row) else np.zeros(0)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(y)))[row] < k
+    return row[keep], col[keep], score[keep]
 
-    Of each sampled vector as many neighbours count as its k nearest rows have
-    places in the sample, one at least; that one is no nearer than the k-th of
-    all rows is likely to be.
-    """
-    rotations = 1 if rows <= ONE_ROTATION else 2
-    out = Hash(dim, longest, even, rotations)
-    if len(sample) < 10:
-        out.probes = min(64, (2 * out.width) ** rotations)
-        return out
-    score = sample @ sample.T
-    np.fill_diagonal(score, -np.inf)
-    each = min(len(sample) - 1, max(1, -(-k * len(sample) // rows)))
-    x = np.argpartition(-score, each - 1, axis=1)[:, :each].ravel()
-    q, pairs = np.repeat(np.arange(len(sample)), each), len(x)
-    most = min((2 * out.width) ** rotations, 4096)
-    own, best = out.buckets(sample), np.full(pairs, most)
-    for t, y in enumerate(out.turned(sample, True)):
-        order = out.order(y, most)
-        for part in np.array_split(np.arange(pairs), max(1, pairs // 2000)):
-            hit = order[q[part]] == own[x[part], t][:, None]
-            best[part] = np.minimum(best[part], np.where(hit.any(axis=1), hit.argmax(axis=1), most))
-    out.probes = int(min(most, np.quantile(best, target, method="higher") + 1))
+
+FOUND = "query_id long, id long, score double"
+
+
+def _clean(df: DataFrame, vec_id: str, vec: str) -> DataFrame:
+    """(id, vec): the rows that take part; of rows that share an id the greatest vector's."""
+    kind = "array<float>" if isinstance(df.schema[vec].dataType, ArrayType) and isinstance(df.schema[vec].dataType.elementType, FloatType) else "array<double>"
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast(kind).alias("vec"))
+    rows = rows.where("id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
+    return rows.groupBy("id").agg(F.max("vec").alias("vec"))
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _true_neighbours(rows: DataFrame, asked: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, query of each neighbour, neighbours): SAMPLE queries at most, with their nearest of all rows."""
+    some = asked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    ids, y = some.column("id").to_numpy(), matrix(some.column("vec").combine_chunks(), dim)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, y))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y = shared.value
+        for batch in batches:
+            rough = y @ matrix(batch.column("vec"), dim).T
+            rough[ids[:, None] == batch.column("id").to_numpy()[None, :]] = -np.inf
+            near = np.argsort(-rough, axis=1)[:, :k]
+            near, q = near.ravel(), np.repeat(np.arange(len(ids)), near.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("id").take(pa.array(near)), pa.array(rough[q, near]), batch.column("vec").take(pa.array(near))], ["query_id", "id", "score", "vec"])
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    found = _top(rows.mapInArrow(scan, f"{FOUND}, vec {kind}").where("score > double('-Infinity')"), k).toArrow()
+    return y, found.column("query_id").to_numpy(), matrix(found.column("vec").combine_chunks(), dim)
+
+
+def measured(out: Hash, queries: np.ndarray, of: np.ndarray, neighbours: np.ndarray, target: float) -> Hash:
+    """The hash with as many probes as find the queries' neighbours at the target rate."""
+    own, best = out.buckets(neighbours), np.full(len(of), out.size)
+    for t, each in enumerate(out.turned(queries, True)):
+        best = np.minimum(best, out.rank(each, of, own[:, t]))
+    out.probes = int(np.quantile(best, target, method="higher")) + 1 if len(of) else 1
+    out.recall = float((best < out.probes).mean()) if len(of) else 1.0
     return out
 
 
+def _meet(rows: DataFrame, asked: DataFrame, shape: Hash, sample: np.ndarray, k: int) -> DataFrame:
+    """(query_id, id, score): for each query the k best rows of each block where it meets rows of its buckets, its own row among them.
+
+    What is worse than a query's k best of the ``sample``, some of the rows, is left out.
+    """
+    hashed, some_rows = rows.sparkSession.sparkContext.broadcast(shape), rows.sparkSession.sparkContext.broadcast(sample)
+    dim, kind = shape.dim, rows.schema["vec"].dataType.simpleString()
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each table."""
+        shape = hashed.value
+        for batch in batches:
+            at = shape.buckets(matrix(batch.column("vec"), dim))
+            take = pa.array(np.repeat(np.arange(len(at)), shape.tables))
+            columns = [pa.array(np.tile(np.arange(shape.tables, dtype=np.int32), len(at))), pa.array(shape.group(at).ravel()), batch.column("id").take(take), batch.column("vec").take(take), pa.array(at.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["t", "g", "id", "vec", "bucket"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each table and group that a query looks into, with the buckets there."""
+        shape = hashed.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, step := max(1, (1 << 22) // max(1, 128 * shape.probes))):
+                batch = whole.slice(a, step)
+                x, n = matrix(batch.column("vec"), dim), batch.num_rows
+                bound = np.full(n, -np.inf)
+                if len(some_rows.value) >= k:
+                    bound = np.partition(x @ some_rows.value.T, -k, axis=1)[:, -k]
+                    bound -= 1e-9 * (1 + np.abs(bound))  # products can differ in their last digits by where they stand
+                for t, each in enumerate(shape.turned(x, True)):
+                    at = np.sort(shape.order(each, shape.probes), axis=1) if each else np.zeros((n, 1), np.int64)
+                    g = shape.group(at)
+                    new = np.concatenate([np.ones((n, 1), bool), g[:, 1:] != g[:, :-1]], axis=1)
+                    begin = np.flatnonzero(new.ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, at.size).astype(np.int32)), pa.array(at.ravel()))
+                    take = pa.array(begin // at.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), t, np.int32)), pa.array(g.ravel()[begin]), batch.column("id").take(take), batch.column("vec").take(take), lists, pa.array(bound[begin // at.shape[1]])], ["t", "g", "id", "vec", "buckets", "bound"])
+
+    left = checkpoint(rows.mapInArrow(index, f"t int, g long, id long, vec {kind}, bucket long"))
+    right = checkpoint(asked.mapInArrow(probe, f"t int, g long, id long, vec {kind}, buckets array<long>, bound double"))
+    # Groups of one block, nearly all, need no table; the others are cut into blocks.
+    some = lambda df, name, size: df.groupBy("t", "g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cut = checkpoint(some(left, "n_rows", BLOCK_ROWS).join(some(right, "n_asked", BLOCK_QUERIES), ["t", "g"]).where("n_rows > 1 or n_asked > 1"))
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_GROUPS else cut
+    whole = lambda c: F.coalesce(c, F.lit(1))
+    each = lambda c: F.explode(F.sequence(F.lit(0), whole(F.col(c)) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), whole(F.col(c))).cast("int")
+    left = left.join(cut, ["t", "g"], "left").select("t", "g", own("n_rows").alias("r"), each("n_asked").alias("s"), "id", "vec", "bucket")
+    right = right.join(cut, ["t", "g"], "left").select("t", "g", each("n_rows").alias("r"), own("n_asked").alias("s"), "id", "vec", "buckets", "bound")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        made = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            bucket = a.column("bucket").to_numpy()
+            order = np.argsort(bucket, kind="stable")
+            bucket, ids, x = bucket[order], a.column("id").to_numpy()[order], matrix(a.column("vec").combine_chunks(), dim)[order]
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            there, end = bucket[begin], np.append(begin[1:], len(bucket))
+            asks, y, lists, bound = b.column("id").to_numpy(), matrix(b.column("vec").combine_chunks(), dim), b.column("buckets").combine_chunks(), b.column("bound").to_numpy()
+            looks, of = np.asarray(lists.flatten()), np.repeat(np.arange(len(asks)), np.asarray(lists.value_lengths()))
+            order = np.argsort(looks, kind="stable")
+            looks, of = looks[order], of[order]
+            low, high = np.searchsorted(looks, there, "left"), np.searchsorted(looks, there, "right")
+            row, col = [np.zeros(0, int)], [np.zeros(0, int)]
+            for k_ in np.flatnonzero(high > low):
+                q = of[low[k_] : high[k_]]
+                i, j = np.nonzero(y[q] @ x[begin[k_] : end[k_]].T >= bound[q][:, None])
+                row.append(q[i])
+                col.append(j + begin[k_])
+            i, j, score = best_of(y, x, ids, np.concatenate(row), np.concatenate(col), k)
+            made = [asks[i], ids[j], score]
+        return pa.table({"query_id": pa.array(made[0], pa.int64()), "id": pa.array(made[1], pa.int64()), "score": pa.array(made[2], pa.float64())})
+
+    key = ["t", "g", "r", "s"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, FOUND)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product in double precision, nearest first, ties to the smaller id.
 
     ``queries`` has the columns of ``vectors``. A query's own id is no answer to
     it. Vectors that are null, empty or zero or hold a null or a component that
     is not finite take no part, nor do rows without an id; short vectors go on
-    with zeros. Rows that share an id are one, at the largest of their scores.
-    Empty tables give an empty result; other columns are ignored.
+    with zeros. Rows that share an id are one, with the greatest of their
+    vectors. Every query has k rows, or all others where they are fewer. Empty
+    tables give an empty result; other columns are ignored.
     """
-
-    def clean(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-        return rows.where("id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
-
-    rows, asked = clean(vectors), clean(queries)
-    norm = "sqrt(aggregate(vec, double(0), (a, x) -> a + x * x))"
+    rows, asked = checkpoint(_clean(vectors, vec_id, vec)), checkpoint(_clean(queries, vec_id, vec))
+    norm = "sqrt(aggregate(vec, double(0), (a, x) -> a + double(x) * double(x)))"
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"), F.expr(f"max({norm})").alias("most"), F.expr(f"min({norm})").alias("least")).first()
-    shape = "query_id long, rank int, vec_id long, score double"
-    if not facts["n"]:
-        return vectors.sparkSession.createDataFrame([], shape)
-    n, dim, longest = facts["n"], facts["dim"], facts["most"]
+    asks = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if not facts["n"] or not asks["n"]:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n, dim, longest = facts["n"], max(facts["dim"], asks["dim"]), facts["most"]
     even = (longest - facts["least"]) <= 1e-3 * longest
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("vec").combine_chunks()
-    hashed = vectors.sparkSession.sparkContext.broadcast(measured(matrix(sample, dim), n, k, dim, longest, even, target))
-    tables, probes = hashed.value.tables, hashed.value.probes
-
-    def index(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column("vec"), dim)
-            at = hashed.value.probed(x).reshape(len(x), -1) if query else hashed.value.buckets(x)
-            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * at.shape[1], pa.array(at.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), lists], ["id", "vec", "at"])
-
-    def placed(df: DataFrame, query: bool) -> DataFrame:
-        made = df.mapInArrow(lambda b: index(b, query), "id long, vec array<double>, at array<long>")
-        per = probes if query else 1
-        made = made.select("id", "vec", F.posexplode("at").alias("p", "bucket"))
-        return made.select(F.expr(f"int(p div {per})").alias("t"), "bucket", "id", "vec")
-
-    rows, asked = checkpoint(placed(rows, False)), placed(asked, True)
-    # A row for each bucket: as many as there are tables and pairs of axes.
-    some = lambda df, name: df.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = F.broadcast(checkpoint(some(rows, "n_rows").join(some(asked, "n_asked"), ["t", "bucket"])))
-    left = rows.join(blocks, ["t", "bucket"]).select("t", "bucket", F.expr("pmod(xxhash64(id), n_rows)").alias("r"), F.explode(F.expr("sequence(0L, n_asked - 1L)")).alias("s"), "id", "vec")
-    right = asked.join(blocks, ["t", "bucket"]).select("t", "bucket", F.explode(F.expr("sequence(0L, n_rows - 1L)")).alias("r"), F.expr("pmod(xxhash64(id), n_asked)").alias("s"), "id", "vec")
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if a.num_rows and b.num_rows:
-            ids, x = a.column("id").to_numpy(), matrix(a.column("vec").combine_chunks(), dim)
-            asks, y = b.column("id").to_numpy(), matrix(b.column("vec").combine_chunks(), dim)
-            for part in np.array_split(np.arange(len(asks)), -(-len(asks) // 256)):
-                rough = y[part] @ x.T
-                rough[asks[part][:, None] == ids[None, :]] = -np.inf
-                # Products can differ in their last digits by where they stand; ties need those of a fixed order.
-                cut = np.maximum(np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(part), -1e300), -1e300)
-                slack = 1e-9 * (1 + np.abs(cut))
-                row, col = np.nonzero(rough >= (cut - slack)[:, None])
-                score = (y[part][row] * x[col]).sum(axis=1)
-                order = np.lexsort((ids[col], -score, row))
-                row, col, score = row[order], col[order], score[order]
-                first = np.searchsorted(row, np.arange(len(part)))
-                keep = np.arange(len(row)) - first[row] < k
-                out.append((asks[part][row[keep]], ids[col[keep]], score[keep]))
-        made = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(made[0], pa.int64()), "vec_id": pa.array(made[1], pa.int64()), "score": pa.array(made[2], pa.float64())})
-
-    key = ["t", "bucket", "r", "s"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Of equal vectors the first k + 1 ids: one of them may be the query's own.
+    first = Window.partitionBy("vec").orderBy("id")
+    kept = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1)
+    alike = checkpoint(kept.groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
+    # Hashing costs far more than rows weigh, so they are dealt out by number, not by size.
+    single, asked = alike.select("id", "vec").repartition(-(-n // TASK_ROWS), "id"), asked.repartition(-(-asks["n"] // TASK_QUERIES), "id")
+    sample = matrix(single.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow().column("vec").combine_chunks(), dim)
+    every = Hash(dim, longest, even, [], tables=1)
+
+    def expanded(found: DataFrame) -> DataFrame:
+        """The ids of the k + 1 best vectors of each query. What is found in several tables counts once."""
+        best = _top(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k + 1).drop("rank")
+        ids = best.join(alike.select("id", "ids"), "id").select("query_id", F.explode("ids").alias("id"), "score")
+        return _top(ids.where("id <> query_id"), k)
+
+    def own(found: DataFrame) -> DataFrame:
+        return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+    if n <= FEW:
+        return own(expanded(_meet(single, asked, every, sample, k + 1)))
+    shape = Hash(dim, longest, even, widths(n, Hash.width(dim, even)), groups=max(1, n // GROUP_ROWS))
+    shape = measured(shape, *_true_neighbours(single, asked, dim, k), target)
+    if shape.tables * shape.probes >= shape.size:  # as many buckets as there are: as much work as all rows
+        return own(expanded(_meet(single, asked, every, sample, k + 1)))
+    found = checkpoint(expanded(_meet(single, asked, shape, sample, k + 1)))
+    short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    if short.isEmpty():
+        return own(found)
+    rest = expanded(_meet(single, checkpoint(short), every, sample, k + 1))
+    return own(found.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest))
 
 
 def every_twentieth(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
