@@ -34,7 +34,7 @@ def brute(docs, items, similarity=0.8):
             x = re.findall(r"\w+", item.lower())
             most = int((1 - similarity) * len(x) + 1e-9)
             best = min((min(edits(x, d[s : s + len(x) + most])[len(x) - most :], default=99) for s in range(len(d))), default=99)
-            if len(x) >= 5 and best <= most:
+            if x and best <= most:
                 out[i, k] = best
     return out
 
@@ -132,7 +132,49 @@ def test_exact_passages_of_the_tables(spark, sf_dir):
     assert {p for p in got if p[0] in set(docs.doc_id[:12])} == expected
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "one two three four")]])
+def test_short_items_are_found_as_they_are(spark, docs_of):
+    items = ["one two three four", "Alpha", "beta gamma", "beta gamma", "x y z"]
+    docs = ["so ONE, two; three four.", "one two four three", "gamma beta", "alpha beta alpha", "beta", "gamma", "x y", "z"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["word_start"] for r in decontam.leak_report(docs_of(docs), benchmark).collect()}
+    assert got == {(0, 0): 1, (3, 1): 0} and set(got) == set(brute(docs, items))
+    assert decontam.drop_leaking(docs_of(docs), benchmark).count() == len(docs)
+    assert decontam.drop_leaking(docs_of(docs), benchmark, least_words=1).count() == len(docs) - 2
+
+
+def wide_text(n, seed):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 50_000, n))
+
+
+def test_very_long_items():
+    long = wide_text(50_000, 1)
+    items = [long, wide_text(28_000, 2)] + [text_of(20, n) for n in range(40)]
+    index = decontam.build(list(range(len(items))), items)
+    docs = [changed(long, 9000, 3), wide_text(60_000, 4), " ".join(long.split()[:30_000]), "short " + items[5], wide_text(28_000, 5)] + ["word"] * 2000
+    got = {f[:2]: f[2] for f in decontam.search(index, [d.encode() for d in docs])}
+    assert (0, int(np.flatnonzero(index.ids == 0)[0])) in got
+    assert {(t, int(index.ids[k])) for t, k in got if t in (0, 1, 2, 4)} == {(0, 0)}
+    assert got[3, int(np.flatnonzero(index.ids == 5)[0])] == 0
+
+
+def test_bit_vectors_equal_the_table_of_distances():
+    draw = random.Random(2)
+    for _ in range(40):
+        item, text = (np.array([draw.randrange(4) for _ in range(draw.randrange(1, 90))]) for _ in range(2))
+        assert list(decontam._vector_distances(text, item, False)) == edits(item.tolist(), text.tolist())[1:]
+        best = [min(edits(item.tolist(), text[s : e + 1].tolist())[-1] for s in range(e + 2)) for e in range(min(len(text), 12))]
+        assert list(decontam._vector_distances(text, item, True))[: len(best)] == best
+
+
+def test_the_index_of_a_whole_shard_is_small():
+    draw = np.random.default_rng(0)
+    names = [f"term{k}" for k in range(100_000)]
+    items = [" ".join(names[k] for k in draw.integers(0, len(names), n)) for n in draw.integers(5, 20, 80_000)]
+    assert sum(map(len, items)) > 7_500_000
+    assert decontam.build(list(range(len(items))), items).nbytes < 200_000_000
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "...")], [(1, "one two three four")]])
 def test_nothing_to_leak(spark, odd_docs, rows):
     benchmark = spark.createDataFrame(rows, "item_id long, text string")
     assert decontam.leak_report(odd_docs, benchmark).count() == 0
