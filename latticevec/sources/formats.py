@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,17 @@ def kind_of(path: str, options: dict[str, str]) -> str:
     return kind
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path, and the path there."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), unquote(urlparse(path).path)
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return pafs.LocalFileSystem(), path
+
+
 def files_of(path: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]]:
-    fs, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, at = filesystem(path)
     info = fs.get_file_info(at)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -199,7 +209,7 @@ class VectorWriter(DataSourceWriter):
         self.path, self.kind, self.overwrite = path, kind, overwrite
 
     def _fs(self) -> tuple[pafs.FileSystem, str]:
-        return pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        return filesystem(self.path)
 
     def write(self, iterator: Iterator) -> Written:
         from pyspark import TaskContext
@@ -266,7 +276,7 @@ def merge(folder: str, target: str) -> None:
     kind = kind_of(target, {})
     fs, infos = files_of(folder)
     shapes = [layout(fs, i, kind, None) for i in infos] if kind != "nsw" else []
-    out_fs, at = pafs.FileSystem.from_uri(target) if "://" in target else (pafs.LocalFileSystem(), target)
+    out_fs, at = filesystem(target)
     with out_fs.open_output_stream(at) as out:
         rows, dims = sum(s.rows for s in shapes), next((s.dims for s in shapes if s.rows), 0)
         out.write({"fbin": np.array([rows, dims], "<i4").tobytes(), "hvecs": np.array([dims], "<i4").tobytes(), "hh": np.array([dims], "<i4").tobytes(), "txt": b"%d %d\n" % (rows, dims)}.get(kind, b""))
@@ -306,6 +316,6 @@ def write_boxes(boxes, path: str, nodes: int) -> None:
     for k, r in enumerate(rows):
         members[k, : len(r["members"])] = r["members"]
     sides = np.array([[*r["lo"], *r["hi"]] for r in rows], "<f4")
-    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    fs, at = filesystem(path)
     with fs.open_output_stream(at) as f:
         f.write(np.array([len(rows), size], "<i4").tobytes() + sides.tobytes() + members.tobytes())
