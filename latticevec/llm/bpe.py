@@ -78,8 +78,8 @@ class Codec:
         leaves = [data[k : k + self.leaf] for k in range(0, len(data), self.leaf)]
         level = list(self.pool.map(self.piece, leaves))
         while len(level) > 1:
-            pairs = [level[k : k + 2] for k in range(0, len(level), 2)]
-            level = [p[0] if len(p) == 1 else join(p[0], p[1], self.piece, self.base.decode_single_token_bytes) for p in pairs]
+            halves = [level[k : k + 2] for k in range(0, len(level), 2)]
+            level = list(self.pool.map(lambda p: p[0] if len(p) == 1 else join(p[0], p[1], self.piece, self.base.decode_single_token_bytes), halves))
         return level[0] if level else []
 
     def short_runs(self, text: str) -> bool:

@@ -21,14 +21,17 @@ def brute(ids, head):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
-def test_blocks_are_stitched(spark, tmp_path, block):
+@pytest.mark.parametrize(("block", "size"), [(1, 1), (1, 3), (2, 5), (3, 7), (7, 1000), (1000, 7)])
+def test_ranges_and_blocks_are_stitched(spark, tmp_path, block, size, monkeypatch):
     draw = np.random.default_rng(block)
     files = {"a": [1, 2, END, END, 3, 4, 5, 6, 7, 8, END], "b": [9], "c": [END], "d": draw.choice([END, 1, 2, 0xC4, 0x80C4, 0xC480 - 1], 200).tolist(), "e": []}
     for name, ids in files.items():
         write(tmp_path, name, ids)
-    blocks = tokens.read_blocks(spark, str(tmp_path), 2, block).repartition(5)
-    got = tokens.count_tokens(blocks, END, 2, block).collect()
+    ranges = tokens.read_ranges(spark, str(tmp_path), 2 * size).repartition(5)
+    assert ranges.count() > 5 or size > 3
+    got = tokens.count_tokens(ranges, END, 2, block).collect()
+    monkeypatch.setattr(tokens, "_readable", lambda path: False)
+    assert sorted(got) == sorted(tokens.count_tokens(tokens.read_ranges(spark, str(tmp_path)), END, 2, block).collect())
     for name, ids in files.items():
         mine = sorted((r["start"], r["n_tokens"], r["head"]) for r in got if r["file"].endswith("/" + name))
         expected = brute(ids, 2)
@@ -45,6 +48,24 @@ def test_query(spark, sf_dir):
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in zip(docs.doc_id, docs.text, strict=True)}
 
 
+def test_files_of_any_length_are_read_by_ranges(spark, tmp_path):
+    """A file with holes, of more than 2 GB: two documents in all."""
+    with open(tmp_path / "a", "wb") as f:
+        f.truncate(2_500_000_000)
+        f.seek(2_400_000_000)
+        f.write(END.to_bytes(2, "big"))
+    got = tokens.count_tokens(tokens.read_ranges(spark, str(tmp_path), 1 << 28)).collect()
+    assert sorted((r["start"], r["n_tokens"]) for r in got) == [(0, 1_200_000_000), (1_200_000_001, 49_999_999)]
+
+
+def test_token_files_are_deleted(spark, docs_of):
+    from pathlib import Path
+
+    folder = Path(tokens.shared_dir(spark).removeprefix("file:"))
+    assert tokens.count_documents(docs_of(["a b c"]), VOCABULARY).collect()[0]["n_tokens"] == 3
+    assert not list(folder.glob("tokens-*"))
+
+
 def test_odd_rows(odd_docs, no_docs, docs_of):
     got = tokens.count_documents(odd_docs, VOCABULARY, block_tokens=1000)
     assert got.count() == odd_docs.count()
@@ -57,7 +78,7 @@ def test_odd_rows(odd_docs, no_docs, docs_of):
 def test_long_runs_of_white_space(docs_of):
     library = Tokenizer.from_file(VOCABULARY)
     library.encode_special_tokens = True
-    texts = ["a" + " " * 1_100_000 + "b", "\n" * 1_100_000, "<|endoftext|>" + "x" * 5000, "a b"]
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "<|endoftext|>" + "x" * 5000, "a b"]
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_documents(docs_of(texts), VOCABULARY).collect()}
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
