@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticevec.lineage import checkpoint, shared_dir
 
-__all__ = ["KEY", "checkpoint", "fold", "labelled_sample", "mix64", "row_key", "segments", "shared_dir", "span_hashes", "spans", "table", "utf8", "word_hashes", "word_mask"]
+__all__ = ["KEY", "checkpoint", "fold", "join_facts", "labelled_sample", "mix64", "row_key", "segments", "shared_dir", "span_hashes", "spans", "table", "utf8", "word_hashes", "word_mask"]
 
 #: Text handled at once by the byte-level numpy scans; bounds their memory.
 SEGMENT_BYTES = 1 << 20
@@ -118,12 +118,37 @@ def fold(doc_id: str, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, label, text) of up to ``most`` labelled ids, those of the least hashes, among the ``learn`` rows of the labels.
 
-    Null ids and labels don't count; an id labelled twice takes its larger label.
+    Null ids and labels don't count; an id labelled twice takes its larger
+    label, and of rows that share an id one counts, that of the least hash.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     ids = known.where(learn).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(ids), "doc_id")  # ``most`` rows of two numbers
+    found = rows.join(F.broadcast(ids), "doc_id")  # ``most`` rows of two numbers
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return found.withColumn("__lv_n", F.row_number().over(first)).where("__lv_n = 1").select("doc_id", "label", "text")
+
+
+#: Keys that count as heavy at most; a heavy key has more than this part of all rows.
+HEAVY = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, one row for each key of theirs, whose ``weight`` is how many rows have the key.
+
+    Rows without facts are left out. Keys with more than a thousandth of all
+    rows, of which there are fewer than a thousand, are joined by broadcast, and
+    their rows are dealt out by the column ``spread``, a long.
+    """
+    total = facts.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    names = [c for c in facts.columns if c not in (key, "weight")]
+    heavy = facts.where(F.col("weight") > total // HEAVY).select(F.col(key).alias("__lv_heavy"), F.struct(*names).alias("__lv_facts"))
+    light = facts.where(F.col("weight") <= total // HEAVY).select(F.col(key).alias("__lv_light"), F.lit(False).alias("__lv_is_heavy"), F.struct(*names).alias("__lv_others"))
+    out = rows.join(F.broadcast(heavy), F.col(key) == F.col("__lv_heavy"), "left").withColumn("__lv_is_heavy", F.col("__lv_heavy").isNotNull())
+    out = out.withColumn("__lv_light", F.when(F.col("__lv_is_heavy"), F.col(spread)).otherwise(F.col(key)))
+    out = out.join(light, ["__lv_light", "__lv_is_heavy"], "left")
+    both = F.coalesce("__lv_facts", "__lv_others")
+    return out.where(both.isNotNull()).select(*rows.columns, *[both[c].alias(c) for c in names])
 
 
 def segments(texts: list[bytes], limit: int = SEGMENT_BYTES) -> Iterator[tuple[int, int]]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticevec.llm.common import checkpoint
+from latticevec.llm.common import checkpoint, join_facts
 
 #: Edges that one task joins at most (16 bytes each); more are contracted first.
 TASK_EDGES = 100_000
@@ -56,12 +56,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         first = both.groupBy("node").agg(F.min("x").alias("x"))
         step = checkpoint(first.select("node", F.least(order("node"), F.col("x"))["n"].alias("root")))
         maps.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        now = now.join(left, "a").join(right, "b").where("ra <> rb")
-        now = checkpoint(now.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        # A node can have a large part of all edges; such are joined by broadcast.
+        for end in ("a", "b"):
+            ends = now.groupBy(end).agg(F.count(F.lit(1)).alias("weight")).withColumnRenamed(end, "node").join(step, "node")
+            facts = checkpoint(ends.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"), "weight"))
+            now = join_facts(now, facts, end, "b" if end == "a" else "a")
+        now = checkpoint(now.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     out = now.coalesce(1).mapInArrow(_joined, "node long, root long")
     while maps:
+        step = maps.pop()
+        mapped = step.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        out = maps.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        facts = checkpoint(mapped.join(later, "root", "left").select("root", "weight", F.coalesce("last", "root").alias("last")))
+        out = join_facts(step, facts, "root", "node").select("node", F.col("last").alias("root"))
     return out

@@ -23,7 +23,7 @@ def _windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     lines = docs.select(F.col(doc_id).isNull().alias("__lv_none"), *row_key(doc_id, text), F.split(F.col(text), "\n", -1).alias("lines"))
     made = """transform(sequence(0, size(lines) - 3), i -> struct(i,
         xxhash64(lines[i], lines[i + 1], lines[i + 2]) AS h, xxhash64(lines[i + 2], 1, lines[i + 1], lines[i]) AS g,
-        trim(concat(lines[i], lines[i + 1], lines[i + 2])) = '' AS blank))"""
+        translate(concat(lines[i], lines[i + 1], lines[i + 2]), ' \t\r\f\u000b', '') = '' AS blank))"""
     rows = lines.where("size(lines) >= 3").select("__lv_none", *KEY, F.expr(f"inline({made})"))
     return rows.where("not blank").drop("blank")
 
@@ -53,7 +53,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row per document: doc_id, text without later occurrences, n_lines, n_removed.
 
     Null text stays null with no lines; documents of fewer than three lines stay
-    as they are, as do windows of white space only. A document all of whose
+    as they are, as do windows of ASCII white space only. Where a window overlaps
+    its own first occurrence, as in a run of equal lines, what the two share goes
+    too: of five equal lines one stays. A document all of whose
     lines are covered has an empty text. Rows without an id come last in the
     order, by a hash of their text. Rows equal in id and text are one document:
     all of them keep the same lines. Other columns are ignored.
@@ -76,7 +78,7 @@ ORACLE_SQL = """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 p AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3),
 w AS (SELECT doc_id, i, lines[i + 1] || chr(10) || lines[i + 2] || chr(10) || lines[i + 3] AS w FROM p),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w WHERE trim(w, ' ' || chr(10)) <> ''),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w WHERE trim(w, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
 c AS (SELECT DISTINCT doc_id, i + d AS pos FROM r, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1),
 x AS (SELECT doc_id, lines, unnest(range(0, len(lines))) AS pos FROM l),
 k AS (SELECT x.doc_id, x.pos, x.lines[x.pos + 1] AS line FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.pos WHERE c.pos IS NULL),

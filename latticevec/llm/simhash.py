@@ -8,7 +8,9 @@ that share one are linked.
 Writing 2,081 rows per fingerprint would be most of the cost, so what is
 shuffled is one row per fingerprint and *prefix* of its variants: a task owns
 all variants that begin with its prefix, and makes them from the fingerprints
-sent to it, a bounded slice of the variants at a time.
+sent to it, a bounded slice of the variants at a time. Prefixes that too many
+fingerprints share are made longer until none is, so a task's share is bounded
+however alike the fingerprints are.
 
 Everything within r bits of one variant is mutually within 2r bits, so a chain
 through the fingerprints of a variant stands for all their pairs, and a task
@@ -20,7 +22,8 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticevec.llm.common import KEY, checkpoint, row_key, utf8
+from latticevec.llm.common import KEY, checkpoint, join_facts, row_key, utf8
 from latticevec.llm.graph import connected_components, merge_labels
 
 SEED = 42
 #: Variants that a task sorts at once.
 SLICE = 1 << 21
+#: Fingerprints that a task takes, at most; on average half as many at most.
+TASK_FINGERPRINTS = 1 << 20
+#: Bits of the shortest prefix, and of each step by which one is made longer.
+LEAST_PREFIX, STEP = 8, 4
 _CHUNK = 1 << 16
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -121,32 +128,50 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     radius = distance // 2
     if distance % 2:
         raise ValueError("ball hashing meets in the middle of an even distance")
-    # 2**8 prefixes hold 16 million fingerprints in tasks of a few million; more need longer prefixes.
-    prefix = 8 + max(0, math.ceil(math.log2(max(1, fps.count()) / 16e6)))
-    near = [int(m) for m in _masks(prefix, radius)]
+    count, bits = fps.count(), LEAST_PREFIX
+    while bits < 32 and count * len(_masks(bits, radius)) > TASK_FINGERPRINTS // 2 * 2**bits:
+        bits += STEP
+    near = [int(m) for m in _masks(bits, radius)]
+    top = F.shiftrightunsigned("fp", 64 - bits)
+    sent = fps.select("fp", F.explode(F.array(*[top.bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("prefix"))
+    parts: list[DataFrame] = []
+    while count > TASK_FINGERPRINTS:  # else none can have too many
+        full = checkpoint(sent.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_FINGERPRINTS).select("prefix"))
+        if full.isEmpty() or bits + STEP > 56:
+            break
+        # There are fewer of these than all rows by a factor of TASK_FINGERPRINTS.
+        small = sent.join(F.broadcast(full), "prefix", "left_anti")
+        parts.append(small.groupBy("prefix").applyInArrow(_owned(bits, distance), "a long, b long"))
+        held = sent.join(F.broadcast(full), "prefix", "left_semi")
+        longer = F.explode(F.sequence(F.shiftleft("prefix", STEP), F.shiftleft("prefix", STEP) + (1 << STEP) - 1))
+        bits += STEP
+        sent = held.select("fp", longer.alias("prefix")).where(F.bit_count(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("prefix"))) <= radius)
+    return reduce(DataFrame.unionAll, parts, sent.groupBy("prefix").applyInArrow(_owned(bits, distance), "a long, b long"))
+
+
+def _owned(bits: int, distance: int) -> Callable[[tuple[pa.Scalar], pa.Table], pa.Table]:
+    """What a task does for a prefix of so many bits: links among the fingerprints sent to it, a forest of them."""
 
     def owned(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
         fp = np.sort(rows.column("fp").to_numpy().view(np.uint64))
-        cost = np.bitwise_count((fp >> np.uint64(64 - prefix)) ^ np.uint64(key[0].as_py())).astype(np.int64)
+        cost = np.bitwise_count((fp >> np.uint64(64 - bits)) ^ np.uint64(key[0].as_py())).astype(np.int64)
         label = np.arange(len(fp))
-        for a, b in _meet(fp, cost, prefix, radius):
+        for a, b in _meet(fp, cost, bits, distance // 2):
             close = np.bitwise_count(fp[a] ^ fp[b]) <= distance
             merge_labels(label, a[close], b[close])
         linked = np.flatnonzero(label != np.arange(len(fp)))
         return pa.table({"a": fp[label[linked]].view(np.int64), "b": fp[linked].view(np.int64)})
 
-    top = F.shiftrightunsigned("fp", 64 - prefix)
-    sent = fps.select("fp", F.explode(F.array(*[top.bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("prefix"))
-    return sent.groupBy("prefix").applyInArrow(owned, "a long, b long")
+    return owned
 
 
 def components(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(fp, root, component_id) per distinct fingerprint: root stands for its component, component_id is the least doc_id there."""
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(fp, n, root, component_id) per distinct fingerprint: n rows have it, root stands for its component, component_id is the least doc_id there."""
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = connected_components(links(nodes.select("fp"), distance))
-    nodes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return nodes.join(least, "root").select("fp", "root", "component_id")
+    nodes = checkpoint(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("weight"))
+    return join_facts(nodes, least, "root", "fp").select("fp", "n", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -157,7 +182,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Repeated rows stay. An empty table gives an empty result. Other columns are ignored.
     """
     prints = checkpoint(fingerprints(docs, doc_id, text, width).select("doc_id", "fp"))
-    out = prints.join(components(prints, distance), "fp")
+    groups = components(prints, distance).select("fp", "component_id", F.col("n").alias("weight"))
+    out = join_facts(prints.withColumn("__lv_n", F.monotonically_increasing_id()), checkpoint(groups), "fp", "__lv_n")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -168,7 +194,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     prints = checkpoint(fingerprints(docs, doc_id, text, width))
     member = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
-    keep = prints.join(components(prints, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min(member).alias("m")).select("m.__lv_key", "m.__lv_text_key")
+    groups = checkpoint(components(prints, distance).select("fp", "root", F.col("n").alias("weight")))
+    keep = join_facts(prints, groups, "fp", "__lv_text_key").groupBy("root").agg(F.min(member).alias("m")).select("m.__lv_key", "m.__lv_text_key")
     rows = docs.select("*", *row_key(doc_id, text)).join(keep, KEY, "left_semi")
     one = Window.partitionBy(*KEY).orderBy(F.col(text))
     return rows.withColumn("__lv_n", F.row_number().over(one)).where("__lv_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -45,6 +45,7 @@ jerk liar loser lowlife lunatic maggot moron parasite pathetic pig psycho scum s
 REPORTS = set("said says say wrote writes called calls quoted quotes term word phrase slur sagte schrieb nannte wort dit écrit appelé mot dijo escribió llamó palabra".split())
 QUOTES = "\"“”„«»‹›‘’"
 _WORD = re.compile(r"[^\W_]+")
+_APOSTROPHE = re.compile(r"(?<=\w)[’'](?=\w)")
 _CHUNK = 1 << 20
 
 
@@ -170,6 +171,7 @@ def _chunks(text: str) -> Iterator[str]:
 def quoted(text: str, start: int, end: int) -> bool:
     """Whether a hit stands within quotation marks of its sentence, or after a word that reports speech."""
     before, after = re.split(r"[.!?\n]", text[max(0, start - 80) : start])[-1], re.split(r"[.!?\n]", text[end : end + 80])[0]
+    before, after = _APOSTROPHE.sub("", before), _APOSTROPHE.sub("", after)
     if sum(c in QUOTES for c in before) % 2 and any(c in QUOTES for c in after + text[end : end + 2]):
         return True
     return not REPORTS.isdisjoint(_WORD.findall(before)[-4:])
@@ -186,13 +188,13 @@ def inputs(text: str, words: Words) -> np.ndarray:
         kinds = list(map(words.__getitem__, found))
         if any(kinds):
             at = [k for k, x in enumerate(kinds) if x]
-            places = list(_WORD.finditer(chunk)) if any(kinds[k][0] for k in at) else None
+            places = list(_WORD.finditer(chunk))
             for k in at:
                 term, stem = kinds[k]
+                if quoted(chunk, *places[k].span()):
+                    spoken += term + stem
+                    term, stem = 0.25 * term, 0.25 * stem
                 if term:
-                    if quoted(chunk, *places[k].span()):
-                        spoken += term
-                        term *= 0.25
                     hits.append((n + k, term))
                 if stem:
                     stems += 1

@@ -23,6 +23,9 @@ from latticevec.llm.common import utf8
 #: What hosts of spam are named by; such hosts are blocked where no rule says otherwise.
 SPAM = ["casino", "free-bets", "poker", "viagra", "ads-track", "porn", "xxx-"]
 
+#: Bytes of states that are held at once.
+STATE_BYTES = 1 << 24
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -84,7 +87,12 @@ class Globs:
         self.rule[accept] = np.arange(len(globs))
 
     def match(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, glob) for each glob that matches a whole text."""
+        """(text, glob) for each glob that matches a whole text; so many texts at a time as bound the states' memory."""
+        step = max(1, STATE_BYTES // (8 * self.width))
+        found = [self._match(texts[a : a + step]) for a in range(0, len(texts), step)] or [(np.zeros(0, int), np.zeros(0, int))]
+        return np.concatenate([row + k * step for k, (row, _) in enumerate(found)]), np.concatenate([glob for _, glob in found])
+
+    def _match(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-lengths, kind="stable")
         flat = np.frombuffer(b"".join(texts), np.uint8)

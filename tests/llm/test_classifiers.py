@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticevec.llm import quality, toxicity
 from latticevec.llm.queries import QUERIES
@@ -51,12 +52,70 @@ def test_odd_rows_and_no_labels(spark, module, odd_docs, no_docs):
     assert module.score(no_docs, module.fit(no_docs, none)).count() == 0
 
 
-def test_labels_of_the_held_out_fold_change_nothing(spark, docs_of):
-    docs = docs_of([f"text number {i} " + ("!!! $$$ " if i % 2 else "fine words ") * 30 for i in range(60)])
-    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
-    label = lambda flip: spark.createDataFrame([(i, (1 - i % 2) if i not in held or not flip else i % 2) for i in range(60)], "doc_id long, quality int")
-    a, b = (quality.score(docs, quality.fit(docs, label(flip))).toPandas() for flip in (False, True))
-    assert a.equals(b)
+@pytest.mark.parametrize(("module", "column", "parts", "out"), [(quality, "quality", 5, 0), (toxicity, "toxic", 3, 1)])
+def test_labels_of_the_held_out_fold_change_nothing(spark, docs_of, module, column, parts, out):
+    docs = docs_of([f"text number {i} " + ("!!! grubbish $$$ " if i % 2 else "fine words ") * 30 for i in range(60)])
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % parts == out]
+    label = lambda flip: spark.createDataFrame([(i, i % 2 if i not in held or not flip else 1 - i % 2) for i in range(60)], f"doc_id long, {column} int")
+    a, b = (module.score(docs, module.fit(docs, label(flip))).toPandas() for flip in (False, True))
+    assert a.equals(b) and a.score.nunique() > 1
+
+
+def test_quality_scores_equal_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op10_quality"](spark, sf_dir).collect()}
+    for r in docs.orderBy(F.length("text")).limit(60).collect():
+        index, x = model.vector(*quality.features(r["text"].encode(), r["n_chars"]))
+        products = (model.v[index] * x[:, None]).astype(float)
+        pairs = np.triu(products @ products.T, 1).sum()
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(model.bias + float(model.w[index] @ x) + pairs))), abs=1e-5)
+
+
+def slow_inputs(text, lexicon):
+    """What the regression sees, by edit distances to all terms and a look at every window."""
+    found, hits, spoken, stems = list(toxicity._WORD.finditer(text.lower())), [], 0.0, []
+    for k, m in enumerate(found):
+        w = m[0]
+        term = max((x * (1.0 if w == t else 0.8) for t, x in lexicon.terms.items() if w == t or (w not in lexicon.ordinary and abs(len(w) - len(t)) <= 2 and distance(w, t) <= toxicity.Automaton.edits(t))), default=0.0)
+        stem = max((x for s, x in lexicon.stems.items() if w.startswith(s) and len(w) > len(s)), default=0.0)
+        said = (term or stem) and toxicity.quoted(text.lower(), *m.span())
+        if term:
+            spoken += term if said else 0.0
+            hits.append((k, term * (0.25 if said else 1.0)))
+        if stem:
+            spoken += stem if said else 0.0
+            stems.append(stem * (0.25 if said else 1.0))
+    best = max((sum(x for i, x in hits if k - toxicity.WINDOW < i <= k) for k, _ in hits), default=0.0)
+    n, total = len(found), sum(x for _, x in hits)
+    k = max(1, n)
+    return [1.0, np.log1p(total), np.log1p(200 * total / k), best, np.log1p(spoken), np.log1p(len(stems)), np.log1p(200 * len(stems) / k), np.log1p(100 * sum(stems) / k), np.log1p(n) / 5]
+
+
+def test_toxicity_scores_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op7_toxicity"](spark, sf_dir).collect()}
+    for r in docs.orderBy(F.length("text")).limit(60).collect():
+        margin = float(np.array(slow_inputs(r["text"], model.lexicon)) @ model.beta)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_apostrophes_are_no_quotation_marks():
+    words = toxicity.Words(toxicity.Lexicon({"idiot": 2.0}, {"grubb": 1.0}))
+    assert toxicity.inputs("i don\u2019t care, you idiot, and you\u2019re done", words)[4] == 0
+    assert toxicity.inputs("he said \u2018idiot\u2019 twice", words)[4] > 0
+    plain, quoted = (toxicity.inputs(t, words) for t in ("such grubbish words", "such \u201cgrubbish\u201d words"))
+    assert plain[4] == 0 < quoted[4] and plain[7] > quoted[7] > 0
+
+
+def test_rows_that_share_a_labelled_id_count_once(spark, docs_of):
+    from latticevec.llm.common import labelled_sample
+
+    docs = docs_of([(1, f"text {i % 3}") for i in range(500)] + [(2, None), (3, "x")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in rows) == [(1, 1), (2, 0)]
 
 
 def test_keep_good_keeps_all_columns(spark, docs_of):

@@ -12,7 +12,7 @@ def brute(pairs):
         gone = set()
         for i in range(len(parts) - 2):
             window = tuple(parts[i : i + 3])
-            if "".join(window).strip(" ") and first.setdefault(window, (doc_id, i)) != (doc_id, i):
+            if "".join(window).strip(" \t\r\f\v") and first.setdefault(window, (doc_id, i)) != (doc_id, i):
                 gone |= {i, i + 1, i + 2}
         out[doc_id] = "\n".join(p for k, p in enumerate(parts) if k not in gone)
     return out
@@ -23,6 +23,7 @@ CASES = {
     "within a document": [(1, "a\na\na\na\na"), (2, "q\na\nb\nc\na\nb\nc\nq")],
     "two lines are no window": [(1, "a\nb"), (2, "a\nb"), (3, "a"), (4, "")],
     "blank": [(1, "\n\n\n\n"), (2, "\n\n\n"), (3, "a\n\n\nb"), (4, "a\n\n\nc")],
+    "white space": [(1, "\t\n \v\n\r\f"), (2, "\t\n \v\n\r\f"), (3, "\u00a0\n\n"), (4, "\u00a0\n\n")],
     "all gone": [(5, "a\nb\nc"), (4, "a\nb\nc"), (9, "a\nb\nc\n")],
 }
 

@@ -1,5 +1,10 @@
+import hashlib
+
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from latticevec.llm import quality
+from latticevec.llm.queries import VOCABULARY
 
 from .test_decontam import brute as leaks_of
 from .test_lines import brute as lines_of
@@ -39,6 +44,10 @@ def test_stages_against_brute_force(spark, sf_dir):
             assert gone & set(before.doc_id[:10]) == leaking
         else:
             assert ids == set(before.doc_id) and set(after.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+            library, rows = Tokenizer.from_file(VOCABULARY), after.set_index("doc_id")
+            for i, t in zip(before.doc_id, before.text, strict=True):
+                tokens, digest = library.encode(t, add_special_tokens=False).ids, lambda s: hashlib.sha256(s.encode()).hexdigest()
+                assert tuple(rows.loc[i]) == (len(tokens), digest(",".join(map(str, tokens))), digest(library.decode(tokens, skip_special_tokens=False)))
 
 
 def test_run_is_its_stages(spark, sf_dir):

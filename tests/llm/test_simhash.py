@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from latticevec.llm import graph, simhash
+from latticevec.llm.common import join_facts
 from latticevec.llm.graph import connected_components
 
 
@@ -50,9 +51,11 @@ def test_repeated_shingles_count_each_time():
     assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("limit", [1 << 21, 3000])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "most"), [(1 << 21, 1 << 20), (3000, 1 << 20), (1 << 21, 40)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, limit, most):
     monkeypatch.setattr(simhash, "SLICE", limit)
+    monkeypatch.setattr(simhash, "TASK_FINGERPRINTS", most)  # 40: prefixes are made longer, those of the centres several times
+    monkeypatch.setattr(simhash, "LEAST_PREFIX", 8 if most > 40 else 4)
     draw = np.random.default_rng(4)
     centres = [int(x) for x in draw.integers(0, 1 << 63, 12)] + [0, (1 << 64) - 1]
     fps = {c for c in centres}
@@ -83,6 +86,13 @@ def test_components_of_shapes(spark, monkeypatch, most):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_heavy_keys_are_joined_whole(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id < 2500, 7, id) AS k")
+    facts = spark.createDataFrame([(7, 2500, "a"), (2600, 1, None), (2601, 1, "c"), (9999, 0, "d")], "k long, weight long, v string")
+    got = {(r["id"], r["k"], r["v"]) for r in join_facts(rows, facts, "k", "id").collect()}
+    assert got == {(i, 7, "a") for i in range(2500)} | {(2600, 2600, None), (2601, 2601, "c")}
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     from latticevec.llm.queries import QUERIES
 
