@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticevec.lineage import remove
 from latticevec.llm import bpe, decontam, lines, quality, simhash
 from latticevec.llm.common import shared_dir, table
 from latticevec.llm.queries import VOCABULARY
@@ -49,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each one keeps is written to the shared folder and read again."""
+    """All stages over ``documents``; what each one keeps is written to the shared folder and read again, then deleted, but for what the result reads."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -57,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+        if 0 < k < len(STAGES) - 1:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
