@@ -65,8 +65,8 @@ def bits_an_entry(p: Column, k: Column) -> Column:
 
 
 def bits_for(n: Column, p: Column) -> Column:
-    """Bits for n entries at a rate p, with as many hash functions as suit them."""
-    return F.ceil(n * F.log(p) / F.lit(math.log(1 / 2 ** math.log(2))))
+    """Bits for n entries at a rate p, with as many hash functions as suit them: -n ln p / (ln 2)^2."""
+    return F.ceil(-n * F.log(p) / F.lit(math.log(2) ** 2))
 
 
 def entries_for(m: Column, k: Column, p: Column) -> Column:
@@ -74,11 +74,21 @@ def entries_for(m: Column, k: Column, p: Column) -> Column:
     return F.ceil(m / bits_an_entry(p, k))
 
 
+#: Words of the smallest and of the largest filter, as powers of two.
+LEAST_EXPONENT, MOST_EXPONENT = 1, 11
+
+
 def filter_shape(beam: int) -> tuple[int, int, int]:
-    """(length in words, its exponent, hash functions) of the least filter of 2..2048 words that keeps the rate for a beam; else of the largest."""
-    for i in range(1, 12):
-        m, n = 32 * 2**i, BITS_PER_ENTRY * beam
-        k = max(1, round(math.log(2) * m / n))
-        if (1 - math.exp(-k * n / m)) ** k < LARGEST_RATE:
-            break
-    return 2**i, i, k
+    """(length in words, its exponent, hash functions) of the least filter of 2..2048 words that keeps the rate for a beam; else of the largest.
+
+    With as many hash functions as suit it, a filter of m bits for n entries
+    needs m >= -n ln p / (ln 2)^2, which gives the exponent; as hash functions
+    are whole, one power more can be needed.
+    """
+    entries = BITS_PER_ENTRY * beam
+    least = -entries * math.log(LARGEST_RATE) / math.log(2) ** 2 / 32
+    exponent = max(LEAST_EXPONENT, math.ceil(math.log2(max(least, 1))))
+    hashes = lambda e: max(1, round(math.log(2) * 32 * 2**e / entries))
+    kept = lambda e: hashes(e) * math.log1p(-math.exp(-hashes(e) * entries / (32 * 2**e))) < math.log(LARGEST_RATE)
+    exponent = min(MOST_EXPONENT, exponent if kept(exponent) else exponent + 1)
+    return 2**exponent, exponent, hashes(exponent)

@@ -85,17 +85,30 @@ def squares(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, x)
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector takes part in a search: it is not null, and all its components are finite numbers."""
+    return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
 def matrix_of(column: pa.Array | pa.ChunkedArray, dims: int | None = None) -> np.ndarray:
-    """The rows of a list column as doubles; they must be equally long."""
+    """The first ``dims`` components of a list column as doubles, or as many as the longest has; short rows go on with zeros, null ones are zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return np.zeros((0, dims or 0))
-    sizes = np.asarray(column.value_lengths())
-    if column.null_count or (sizes != sizes[0]).any():
-        raise ValueError("vectors must not be null and must all have the same number of components")
-    x = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
-    return x if dims is None else x[:, :dims]
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    if (sizes == sizes[0]).all():
+        x = flat.reshape(len(column), -1)
+    else:
+        x = np.zeros((len(column), sizes.max()))
+        x[np.arange(x.shape[1]) < sizes[:, None]] = flat
+    return x if dims is None else widened(x[:, :dims], dims)
+
+
+def widened(x: np.ndarray, width: int) -> np.ndarray:
+    """The rows, with zeros behind them."""
+    return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
 def list_array(x: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
@@ -111,6 +124,7 @@ def nearest_in_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, skip
     ``skip`` are passed over. Places without a row have distance infinity and id -1.
     """
     best, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+    q, x = widened(q, x.shape[1]), widened(x, q.shape[1])
     norms = squares(x)
     for a in range(0, len(q), 256):
         part = q[a : a + 256]

@@ -13,7 +13,9 @@ Beyond that a round is a few joins, for all queries at once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticevec.functions.bits import LCG_INCREMENT, LCG_MULTIPLIER, WORD
-from latticevec.functions.vec import matrix_of
-from latticevec.lineage import checkpoint
-from latticevec.operators.knn import expand, frontier, graph_edges, merge_beams, ranked, score
+from latticevec.functions.vec import matrix_of, squared_l2, usable
+from latticevec.lineage import remove, shared_dir
+from latticevec.operators.knn import ranked
 
 #: Bytes of vectors and graph that are broadcast at most.
 BROADCAST_BYTES = 512_000_000
@@ -51,8 +53,10 @@ def search(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: DataF
     id): where each query starts. Neighbours and entries that are no rows of
     base, sentinels among them, are passed over. Distances are those of the
     first ``dims`` components. A query without entries has no result; k counts
-    at most ``beam``.
+    at most ``beam``. Rows and queries without an id, and those whose vector is
+    null or has a component that is null or not finite, take no part.
     """
+    base, queries = base.where(F.col("id").isNotNull() & usable(F.col("vec"))), queries.where(F.col("qid").isNotNull() & usable(F.col("vec")))
     facts = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("m")).first()
     links = graph.agg(F.coalesce(F.sum(F.size("neighbors")), F.lit(0))).first()[0]
     if 8 * (facts["n"] + facts["m"] + links) <= BROADCAST_BYTES:
@@ -62,46 +66,67 @@ def search(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: DataF
     return found.select("qid", "rank", "id", "dist")
 
 
-def walk(q: np.ndarray, x: np.ndarray, neighbors: list[np.ndarray], seeds: np.ndarray, ids: np.ndarray, k: int, beam: int, width: int, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, distances) of one query's search among the rows of x."""
+@dataclass
+class Graph:
+    """Rows by number, in the order of their ids, with the numbers of each one's neighbours one after the other."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    begin: np.ndarray  # of each row's neighbours, and the end of all
+    near: np.ndarray
+
+    def numbers(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers) of the ids that are rows."""
+        if not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
+        places = np.flatnonzero(self.ids[at] == wanted)
+        return places, at[places]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Graph:
+        out = cls(ids, x, np.zeros(len(ids) + 1, np.int64), np.zeros(0, np.int32))
+        kept, near = out.numbers(flat)
+        places, own = out.numbers(np.repeat(nodes, sizes)[kept])
+        order = np.argsort(own, kind="stable")
+        out.near = near[places][order].astype(np.int32)
+        np.cumsum(np.bincount(own, minlength=len(ids)), out=out.begin[1:])
+        return out
+
+
+def walk(graph: Graph, q: np.ndarray, seeds: np.ndarray, seen: np.ndarray, mark: int, k: int, beam: int, width: int, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of one query's search; seen: for each row the mark of the last query that saw it."""
 
     def measured(rows: np.ndarray) -> np.ndarray:
-        return ((x[rows] - q) ** 2).sum(axis=1)
+        return ((graph.x[rows] - q) ** 2).sum(axis=1)
 
-    seen = np.zeros(len(x), bool)
     rows = np.unique(seeds)
-    seen[rows] = True
+    seen[rows] = mark
     d = measured(rows)
-    order = np.lexsort((ids[rows], d))[:beam]
+    order = np.lexsort((graph.ids[rows], d))[:beam]
     rows, d, done = rows[order], d[order], np.zeros(len(order), bool)
     for _ in range(max_iter):
         picks = np.flatnonzero(~done)[:width]
         if not len(picks):
             break
         done[picks] = True
-        new = np.unique(np.concatenate([neighbors[r] for r in rows[picks]]))
-        new = new[~seen[new]]
-        seen[new] = True
+        new = np.unique(np.concatenate([graph.near[graph.begin[r] : graph.begin[r + 1]] for r in rows[picks]]))
+        new = new[seen[new] != mark]
+        seen[new] = mark
         rows, d, done = np.concatenate([rows, new]), np.concatenate([d, measured(new)]), np.concatenate([done, np.zeros(len(new), bool)])
-        order = np.lexsort((ids[rows], d))[:beam]
+        order = np.lexsort((graph.ids[rows], d))[:beam]
         rows, d, done = rows[order], d[order], done[order]
     return rows[:k], d[:k]
 
 
 def _in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: DataFrame, k: int, beam: int, width: int, max_iter: int, dims: int | None) -> DataFrame:
     rows = base.select(F.col("id").cast("long"), "vec").toArrow().sort_by("id")  # at most BROADCAST_BYTES together
-    ids, x = rows.column("id").to_numpy(), matrix_of(rows.column("vec"), dims)
-    links = graph.select(F.col("id").cast("long"), F.col("neighbors").cast("array<long>")).toArrow()
-    neighbors = [np.zeros(0, np.int64)] * len(ids)
-
-    def numbers(wanted: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
-        return at[ids[at] == wanted] if len(ids) else at[:0]
-
-    for node, near in zip(links.column("id").to_pylist(), links.column("neighbors").combine_chunks(), strict=True):
-        for at in numbers(np.array([node])):
-            neighbors[at] = numbers(np.array(near.values, dtype=np.int64)) if near.is_valid else neighbors[at]
-    shared = queries.sparkSession.sparkContext.broadcast((ids, x, neighbors))
+    links = graph.where("id is not null and neighbors is not null").select(F.col("id").cast("long"), F.col("neighbors").cast("array<long>")).toArrow()
+    lists = links.column("neighbors").combine_chunks()
+    flat, sizes = np.asarray(lists.flatten().fill_null(-1)), np.asarray(lists.value_lengths())
+    x = matrix_of(rows.column("vec"), dims)
+    made = Graph.of(rows.column("id").to_numpy(), x, links.column("id").to_numpy(), sizes, flat)
+    shared = queries.sparkSession.sparkContext.broadcast(made)
     start = entries.groupBy("qid").agg(F.collect_set(F.col("id").cast("long")).alias("seeds"))
     # Walks cost far more than their rows weigh, so they are dealt out by number, not by size.
     n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
@@ -109,17 +134,17 @@ def _in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: D
     asked = queries.select(F.col("qid").cast("long").alias("qid"), "vec").join(start, "qid").repartition(parts, "qid")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, neighbors = shared.value
+        graph = shared.value
+        seen, mark = np.zeros(len(graph.ids), np.int32), 0
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
-            q = matrix_of(batch.column("vec"), dims)
+            q = matrix_of(batch.column("vec"), dims or graph.x.shape[1])
             for k_, (qid, seeds) in enumerate(zip(batch.column("qid").to_pylist(), batch.column("seeds").to_pylist(), strict=True)):
-                at = np.searchsorted(ids, np.array(seeds, np.int64))
-                at = at[at < len(ids)]
-                at = at[np.isin(ids[at], seeds)]
+                _, at = graph.numbers(np.array(seeds, np.int64))
                 if len(at):
-                    rows, d = walk(q[k_], x, neighbors, at, ids, k, beam, width, max_iter)
-                    for column, value in zip(out, (np.full(len(rows), qid), ids[rows], d), strict=True):
+                    mark += 1
+                    rows, d = walk(graph, q[k_], at, seen, mark, k, beam, width, max_iter)
+                    for column, value in zip(out, (np.full(len(rows), qid), graph.ids[rows], d), strict=True):
                         column.append(value)
             made = [np.concatenate(c) if c else np.zeros(0) for c in out]
             yield pa.RecordBatch.from_arrays([pa.array(made[0].astype(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(made[2].astype(float))], ["qid", "id", "dist"])
@@ -128,17 +153,42 @@ def _in_memory(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: D
 
 
 def by_joins(queries: DataFrame, base: DataFrame, graph: DataFrame, entries: DataFrame, k: int, beam: int = 128, width: int = 1, max_iter: int = 100, dims: int | None = None) -> DataFrame:
-    """The same search for all queries at once, a round by joins on ids; graph and vectors stay distributed."""
-    edges = graph_edges(graph)
-    batch = lambda pairs: score(pairs, base, queries, dims).withColumn("expanded", F.lit(False))
-    visited = checkpoint(entries.select("qid", F.col("id").cast("long").alias("id")).distinct().join(base.select("id"), "id", "left_semi").select("qid", "id"))
-    now = checkpoint(ranked(batch(visited), beam).select("qid", "id", "dist", "expanded"))
-    for _ in range(max_iter):
-        picks = checkpoint(frontier(now, width))
-        if picks.isEmpty():
+    """The same search for all queries at once, a round by joins on ids; graph and vectors stay distributed.
+
+    A query's beam and what it has seen are one row, written once a round; a round's rows are deleted when the next ones are there.
+    """
+    spark = queries.sparkSession
+    cut = lambda c: F.col(c) if dims is None else F.slice(c, 1, dims)
+    rows = base.select(F.col("id").cast("long").alias("id"), cut("vec").alias("__x"))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), cut("vec").alias("__q"))
+    near = graph.select(F.col("id").cast("long").alias("id"), F.col("neighbors").cast("array<long>").alias("near"))
+    folder = f"{shared_dir(spark).rstrip('/')}/beam-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, n: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{n}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
+        return spark.read.parquet(f"{folder}/{n}")
+
+    def found(pairs: DataFrame) -> DataFrame:
+        """(qid, new): (dist, id, expanded) of each (qid, id, __q) that is a row."""
+        scored = pairs.join(rows, "id").select("qid", F.struct(squared_l2(F.col("__x"), F.col("__q")).alias("dist"), "id", F.lit(False).alias("expanded")).alias("e"))
+        return scored.groupBy("qid").agg(F.collect_list("e").alias("new"))
+
+    best = lambda c: F.slice(F.array_sort(c), 1, beam)
+    ids = lambda c: F.transform(c, lambda e: e["id"])
+    seeds = entries.select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id")).distinct()
+    now = kept(asked.join(found(seeds.join(asked, "qid")), "qid").select("qid", "__q", best(F.col("new")).alias("beam"), ids(F.col("new")).alias("seen")), 0)
+    for n in range(1, max_iter + 1):
+        open_ = ids(F.filter("beam", lambda e: ~e["expanded"]))
+        picked = now.select("qid", F.explode(F.slice(open_, 1, width)).alias("id"))
+        if picked.isEmpty():
             break
-        new = checkpoint(expand(picks, edges, visited).join(base.select("id"), "id", "left_semi").select("qid", "id"))
-        done = now.join(picks.withColumn("picked", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "dist", (F.col("expanded") | F.col("picked").isNotNull()).alias("expanded"))
-        now = checkpoint(merge_beams(done, batch(new), beam).select("qid", "id", "dist", "expanded"))
-        visited = checkpoint(visited.unionByName(new))
-    return ranked(now, k)
+        reached = picked.join(near, "id").select("qid", F.explode("near").alias("id")).distinct()
+        fresh = reached.join(now.select("qid", "__q", "seen"), "qid").where(~F.array_contains("seen", F.col("id"))).select("qid", "id", "__q")
+        new = F.coalesce("new", F.filter("beam", lambda e: F.lit(False)))
+        picks = F.slice(open_, 1, width)
+        marked = F.transform("beam", lambda e: F.struct(e["dist"].alias("dist"), e["id"].alias("id"), (e["expanded"] | F.array_contains(F.col("picks"), e["id"])).alias("expanded")))
+        after = now.withColumn("picks", picks).join(found(fresh), "qid", "left")
+        now = kept(after.select("qid", "__q", best(F.concat(marked, new)).alias("beam"), F.concat("seen", ids(new)).alias("seen")), n)
+    return ranked(now.select("qid", F.inline("beam")).select("qid", "id", "dist"), k)

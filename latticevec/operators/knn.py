@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticevec.functions.vec import matrix_of, merged, nearest_in_block, squared_l2
+from latticevec.functions.vec import matrix_of, merged, nearest_in_block, squared_l2, usable
 
 #: Bytes of queries that are broadcast at most; beyond that, queries and base rows meet in blocks.
 BROADCAST_BYTES = 64_000_000
@@ -36,11 +36,13 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, dims: int | None = No
     """(qid, rank, id, dist): the k nearest base rows of each query, by its first ``dims`` components or all.
 
     With ``skip_self`` the row of the query's own id is no answer. Ids must not
-    be negative or null. Few queries are broadcast, after their size is known,
-    and the base is read where it lies; many meet the base in blocks.
+    be negative. Rows and queries without an id, and those whose vector is null
+    or has a component that is null or not finite, take no part; short vectors
+    go on with zeros. Few queries are broadcast, after their size is known, and
+    the base is read where it lies; many meet the base in blocks.
     """
-    rows = base.select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
+    rows = base.where(F.col(id).isNotNull() & usable(F.col(vec))).select(F.col(id).cast("long").alias("id"), F.col(vec).alias("vec"))
+    asked = queries.where(F.col(qid).isNotNull() & usable(F.col(qvec))).select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("vec"))
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("m")).first()
     if 8 * (size["m"] + size["n"]) <= BROADCAST_BYTES:
         return ranked(_by_broadcast(rows, asked, k, dims, skip_self), k).select("qid", "rank", "id", "dist")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticevec.functions.vec import list_array, matrix_of
+from latticevec.functions.vec import list_array, matrix_of, usable
 
 #: Rows of partial sums that the driver adds up at most.
 GROUPS = 32
@@ -49,13 +49,18 @@ def column_mean(base: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def moments(base: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, mean, covariance with n - 1), each partition adding up its centred products first."""
+    """(rows, mean, covariance with n - 1), each partition adding up its centred products first.
+
+    Vectors that are null or have a component that is null or not finite take no part; short ones go on with zeros.
+    """
+    base = base.where(usable(F.col(vec)))
+    dims = base.agg(F.max(F.size(vec))).first()[0]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, mean, m2 = 0, None, None
         for batch in batches:
             if batch.num_rows:
-                x = matrix_of(batch.column(0))
+                x = matrix_of(batch.column(0), dims)
                 n, mean, m2 = combined(n, mean, m2, len(x), x.mean(axis=0), (c := x - x.mean(axis=0)).T @ c)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), list_array(mean[None]), list_array(m2.reshape(1, -1))], ["n", "mean", "m2"])
@@ -97,7 +102,8 @@ def fit(base: DataFrame, vec: str = "vec") -> PCA:
 
 
 def transform(df: DataFrame, model: PCA, dims: int, vec: str = "vec", out: str = "pca") -> DataFrame:
-    """All columns and the projection to the first ``dims`` components, as floats."""
+    """All columns and the projection to the first ``dims`` components, as floats; rows whose vectors take no part in a search are left out."""
+    df = df.where(usable(F.col(vec)))
     shared, names = df.sparkSession.sparkContext.broadcast(model), df.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

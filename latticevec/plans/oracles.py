@@ -127,6 +127,6 @@ ORACLE_SQL: dict[str, str] = {
     "bloom_params": """WITH c AS (SELECT count(*)::DOUBLE AS n FROM embeddings), a AS (SELECT CAST(i AS INTEGER) AS i, 32.0::DOUBLE * pow(2.0::DOUBLE, i) AS m FROM (SELECT unnest(range(1, 12)) AS i)),
         b AS (SELECT i, m, n, m / n AS r, greatest(round(ln(2.0::DOUBLE) * (m / n)), 1.0::DOUBLE) AS k FROM a, c)
         SELECT i, m, round(r, 6) AS r, k, round(pow(1 - exp(-k / r), k), 6) AS rate, round(-k / ln(1 - exp(ln(0.01::DOUBLE) / k)), 6) AS bits_an_entry,
-        CAST(ceil(n * ln(0.01::DOUBLE) / ln(1 / pow(2.0::DOUBLE, ln(2.0::DOUBLE)))) AS BIGINT) AS bits_for, CAST(ceil(m / (-k / ln(1 - exp(ln(0.01::DOUBLE) / k)))) AS BIGINT) AS entries_for FROM b""",
+        CAST(ceil(-n * ln(0.01::DOUBLE) / (ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS BIGINT) AS bits_for, CAST(ceil(m / (-k / ln(1 - exp(ln(0.01::DOUBLE) / k)))) AS BIGINT) AS entries_for FROM b""",
     "log_averages": "SELECT 'stage' || CAST(label % 3 AS VARCHAR) AS stage, round(avg(vec_id::DOUBLE), 6) AS ms FROM embeddings GROUP BY label % 3",
 }

@@ -21,6 +21,7 @@ order the rows by id first. A file of its own can be made of a folder by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
@@ -290,32 +291,69 @@ def merge(folder: str, target: str) -> None:
                     out.write(chunk)
 
 
-def read_boxes(spark: SparkSession, path: str, nodes: int):
-    """(box_id, lo, hi, members) of a box file: int32 boxes and members a box, six floats a box, and the members as int32, padded by ``nodes``, the number of points.
+#: Boxes that a task reads.
+BOXES_A_TASK = 4096
+
 
-    A box file has about 1 / point_ratio boxes, so the driver reads it.
-    """
+def read_boxes(spark: SparkSession, path: str, nodes: int):
+    """(box_id, lo, hi, members) of a box file: int32 boxes and members a box, six floats a box, and the members as int32, padded by ``nodes``, the number of points. Tasks read ranges of boxes."""
     fs, infos = files_of(path)
     with fs.open_input_file(infos[0].path) as f:
-        data = f.read()
-    n, size = (int(x) for x in np.frombuffer(data, "<i4", 2))
-    if len(data) != 8 + 4 * n * (6 + size):
-        raise ValueError(f"{path}: {len(data)} bytes are not {n} boxes of {size} members")
-    sides = np.frombuffer(data, "<f4", 6 * n, 8).reshape(n, 6).astype(float)
-    members = np.frombuffer(data, "<i4", n * size, 8 + 24 * n).reshape(n, size)
-    rows = [(k, tuple(sides[k, :3].tolist()), tuple(sides[k, 3:].tolist()), members[k][members[k] != nodes].tolist()) for k in range(n)]
-    point = "struct<x: double, y: double, z: double>"
-    return spark.createDataFrame(rows, f"box_id int, lo {point}, hi {point}, members array<bigint>")
+        head = f.read(8)
+        n, size = (int(x) for x in np.frombuffer(head, "<i4")) if len(head) == 8 else (0, 0)
+        if f.size() != 8 + 4 * n * (6 + size):
+            raise ValueError(f"{path}: {f.size()} bytes are not {n} boxes of {size} members")
+    point = pa.struct([(a, pa.float64()) for a in "xyz"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, infos = files_of(path)
+        for batch in batches:
+            for a in (BOXES_A_TASK * x for x in batch.column(0).to_pylist()):
+                count = min(BOXES_A_TASK, n - a)
+                with fs.open_input_file(infos[0].path) as f:
+                    f.seek(8 + 24 * a)
+                    sides = np.frombuffer(f.read(24 * count), "<f4").reshape(count, 6).astype(float)
+                    f.seek(8 + 24 * n + 4 * a * size)
+                    members = np.frombuffer(f.read(4 * count * size), "<i4").reshape(count, size).astype(np.int64)
+                own = members != nodes
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, own.sum(axis=1).cumsum()).astype(np.int32)), pa.array(members[own]))
+                corner = lambda k: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(sides[:, k + j])) for j in range(3)], fields=list(point))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + count, dtype=np.int32)), corner(0), corner(3), lists], ["box_id", "lo", "hi", "members"])
+
+    tasks = -(-n // BOXES_A_TASK)
+    shape = "struct<x: double, y: double, z: double>"
+    return spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(read, f"box_id int, lo {shape}, hi {shape}, members array<bigint>")
 
 
 def write_boxes(boxes, path: str, nodes: int) -> None:
-    """A box file of (box_id, lo, hi, members), padded by ``nodes``, the number of points."""
-    rows = boxes.orderBy("box_id").collect()  # about 1 / point_ratio rows
-    size = max((len(r["members"]) for r in rows), default=0)
-    members = np.full((len(rows), size), nodes, "<i4")
-    for k, r in enumerate(rows):
-        members[k, : len(r["members"])] = r["members"]
-    sides = np.array([[*r["lo"], *r["hi"]] for r in rows], "<f4")
+    """A box file of (box_id, lo, hi, members), padded by ``nodes``, the number of points. Tasks write parts beside it, which are put together a piece at a time."""
+    facts = boxes.selectExpr("count(*) AS n", "coalesce(max(size(members)), 0) AS size").first()
+    n, size, folder = facts["n"], facts["size"], f"{path}-parts-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context, (fs, at) = TaskContext.get(), filesystem(folder)
+        name = f"{at}/{context.partitionId():06d}-{context.taskAttemptId()}"
+        fs.create_dir(at, recursive=True)
+        with fs.open_output_stream(f"{name}.sides") as one, fs.open_output_stream(f"{name}.members") as two:
+            for batch in batches:
+                corners = [np.stack([batch.column(s).field(k).to_numpy() for k in range(3)], axis=1) for s in ("lo", "hi")]
+                one.write(np.concatenate(corners, axis=1).astype("<f4").tobytes())
+                lists = batch.column("members")
+                sizes, padded = np.asarray(lists.value_lengths().fill_null(0)), np.full((batch.num_rows, size), nodes, "<i4")
+                padded[np.arange(size) < sizes[:, None]] = np.asarray(lists.flatten())
+                two.write(padded.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()]), pa.array([name])], ["part", "name"])
+
+    ordered = boxes.select("box_id", "lo", "hi", "members").repartitionByRange("box_id").sortWithinPartitions("box_id")
+    parts = [r["name"] for r in sorted(ordered.mapInArrow(write, "part long, name string").collect())]  # a row for each partition
     fs, at = filesystem(path)
-    with fs.open_output_stream(at) as f:
-        f.write(np.array([len(rows), size], "<i4").tobytes() + sides.tobytes() + members.tobytes())
+    with fs.open_output_stream(at) as out:
+        out.write(np.array([n, size], "<i4").tobytes())
+        for end in ("sides", "members"):
+            for name in parts:
+                with fs.open_input_file(f"{name}.{end}") as f:
+                    while chunk := f.read(1 << 22):
+                        out.write(chunk)
+    fs.delete_dir(filesystem(folder)[1])
