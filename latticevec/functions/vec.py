@@ -25,8 +25,9 @@ def total(v: Column) -> Column:
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    """The sum of squared differences; no root is taken."""
-    return total(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y)))
+    """The sum of squared differences; no root is taken. The shorter vector goes on with zeros."""
+    whole = lambda x: F.coalesce(x, F.lit(0.0))
+    return total(F.transform(F.zip_with(_double(a), _double(b), lambda x, y: whole(x) - whole(y)), lambda x: x * x))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from latticevec.functions import bits
-from latticevec.plans.queries import DEGREE, DIMS, MATRIX, WIDTH, K
+from latticevec.operators.boxes import BINS
+from latticevec.plans.queries import CAPACITY, DEGREE, DIMS, MATRIX, TRAINING, WIDTH, K
+from latticevec.sources.formats import KINDS
 
 AXES = "xyz"
 
@@ -56,8 +58,63 @@ def found(results: str, truth: str) -> str:
 
 
 RECALL = f"sum(found)::DOUBLE / (count(*) * {K})"
-_RECALLS = " UNION ALL ".join(f"SELECT {d} AS dim, {RECALL} AS recall FROM {found(knn(WIDTH, d), knn())}" for d in DIMS)
 LCG = f"(s * {bits.LCG_MULTIPLIER} + {bits.LCG_INCREMENT}) % {bits.WORD}"
+_NEXT = lambda s: f"(({s}) * {bits.LCG_MULTIPLIER} + {bits.LCG_INCREMENT}) % {bits.WORD}"
+SAMPLE = f"(SELECT vec_id, embedding FROM embeddings ORDER BY {_NEXT(_NEXT('vec_id + 43'))}, vec_id LIMIT {TRAINING})"
+
+
+def sampled(k: int) -> str:
+    """The k nearest rows of each of the training sample."""
+    pairs = f"SELECT q.vec_id AS qid, b.vec_id AS id, {l2('q.embedding', 'b.embedding')} AS dist FROM {SAMPLE} q, embeddings b"
+    return f"(SELECT qid, CAST(n AS INTEGER) AS rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS n FROM ({pairs})) WHERE n <= {k})"
+
+
+#: Distances by the first d components, for every d, of the sample to all rows; and whether a true neighbour is among the nearest.
+_RECALLS = f"""(WITH q AS MATERIALIZED (SELECT * FROM {SAMPLE}), t AS MATERIALIZED (SELECT qid, id FROM {sampled(K)}),
+    p AS MATERIALIZED (SELECT q.vec_id AS qid, b.vec_id AS id, d, list_sum(list_transform(list_zip(q.embedding[1:d], b.embedding[1:d]), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist
+        FROM q, embeddings b, (SELECT unnest(range({min(DIMS)}, {max(DIMS) + 1})) AS d)),
+    r AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid, d ORDER BY dist, id) AS n FROM p)
+    SELECT CAST(d AS INTEGER) AS dim, sum(CASE WHEN n <= {WIDTH} THEN 1 ELSE 0 END)::DOUBLE / count(*) AS recall FROM t JOIN r ON t.qid = r.qid AND t.id = r.id GROUP BY d)"""
+_SPAN = lambda p: f"CASE axis WHEN 0 THEN {p}_x WHEN 1 THEN {p}_y ELSE {p}_z END"
+
+
+def kd_leaves(levels: int = 14) -> str:
+    """CTEs, one set for each level of the tree, and ``leaves`` (box_id, id, x, y, z)."""
+    out, limits = [f"n0 AS MATERIALIZED (SELECT '' AS node, qid AS id, x, y, z FROM {POINTS})"], ", ".join(f"min({a}) AS lo_{a}, max({a}) AS hi_{a}" for a in AXES)
+    for k in range(levels):
+        out += [
+            f"b{k} AS MATERIALIZED (SELECT node, count(*) AS n, {limits} FROM n{k} GROUP BY node)",
+            f"""a{k} AS MATERIALIZED (SELECT node, n, axis, {_SPAN("lo")} AS lo, {_SPAN("hi")} AS hi FROM (SELECT *, CASE WHEN hi_x - lo_x >= hi_y - lo_y AND hi_x - lo_x >= hi_z - lo_z THEN 0
+                WHEN hi_y - lo_y >= hi_z - lo_z THEN 1 ELSE 2 END AS axis FROM b{k} WHERE n > {CAPACITY}))""",
+            f"""h{k} AS MATERIALIZED (SELECT *, CASE WHEN hi > lo THEN CAST(ceil((v - lo) / (hi - lo) * {BINS}) AS INTEGER) ELSE 0 END AS bin FROM
+                (SELECT p.*, a.n, a.lo, a.hi, CASE a.axis WHEN 0 THEN p.x WHEN 1 THEN p.y ELSE p.z END AS v FROM n{k} p JOIN a{k} a ON p.node = a.node))""",
+            f"c{k} AS (SELECT node, n, bin, sum(count(*)) OVER (PARTITION BY node ORDER BY bin) AS below FROM h{k} GROUP BY node, n, bin)",
+            f"e{k} AS (SELECT node, bin AS edge FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY abs(2 * below - n), bin) AS r FROM c{k} WHERE below < n) WHERE r = 1)",
+            f"""n{k + 1} AS MATERIALIZED (SELECT node || CASE WHEN CASE WHEN edge IS NULL THEN r <= n // 2 ELSE bin <= edge END THEN 'L' ELSE 'R' END AS node, id, x, y, z FROM
+                (SELECT h.*, e.edge, row_number() OVER (PARTITION BY h.node ORDER BY v, id) AS r FROM h{k} h LEFT JOIN e{k} e ON h.node = e.node))""",
+        ]
+    done = " UNION ALL ".join(f"SELECT p.* FROM n{k} p JOIN b{k} b ON p.node = b.node WHERE b.n <= {CAPACITY}" for k in range(levels))
+    out.append(f"leaves AS (SELECT CAST(dense_rank() OVER (ORDER BY node) - 1 AS INTEGER) AS box_id, id, x, y, z FROM ({done}))")
+    return "WITH " + ",\n".join(out)
+
+
+def beam(degree: int = 32, width: int = 4, rounds: int = 100) -> str:
+    """The search from random entries, a query's whole state in one row: its beam and what it has seen."""
+    entry = lambda d: f"{{'dist': {l2('embedding', f'xs[{d} + 1]')}, 'id': {d}, 'done': false}}"
+    marked = "list_transform(beam, lambda t: {'dist': t.dist, 'id': t.id, 'done': t.done OR list_contains(picks, t.id)})"
+    return f"""WITH RECURSIVE b AS MATERIALIZED (SELECT list(embedding ORDER BY vec_id) AS xs FROM embeddings),
+        g AS MATERIALIZED (SELECT list(near ORDER BY id) AS gs FROM (SELECT id, list(neighbor ORDER BY rank) AS near FROM {edges(degree)} GROUP BY id)),
+        t AS (SELECT vec_id AS qid, 0 AS i, vec_id * 64 % {bits.WORD} AS s FROM embeddings UNION ALL SELECT qid, i + 1, {LCG} FROM t WHERE i < {WIDTH}),
+        e AS MATERIALIZED (SELECT qid, list(DISTINCT s % (SELECT count(*) FROM embeddings)) AS ids FROM t WHERE i > 0 GROUP BY qid),
+        w AS (SELECT qid, embedding, 0 AS i, ids AS seen, list_slice(list_sort(list_transform(ids, lambda d: {entry("d")})), 1, {WIDTH}) AS beam FROM e JOIN embeddings ON qid = vec_id, b
+          UNION ALL
+          SELECT qid, embedding, i + 1, list_concat(seen, fresh), list_slice(list_sort(list_concat({marked}, list_transform(fresh, lambda d: {entry("d")}))), 1, {WIDTH}) FROM
+            (SELECT *, list_filter(list_distinct(flatten(list_transform(picks, lambda p: gs[p + 1]))), lambda d: NOT list_contains(seen, d)) AS fresh FROM
+              (SELECT *, list_slice(list_transform(list_filter(beam, lambda t: NOT t.done), lambda t: t.id), 1, {width}) AS picks FROM w) , g WHERE len(picks) > 0 AND i < {rounds}), b)
+        SELECT qid, CAST(r AS INTEGER) AS rank, beam[r].id AS id, round(beam[r].dist, 6) AS dist FROM
+          (SELECT qid, beam, unnest(range(1, {K} + 1)) AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY i DESC) AS last FROM w) WHERE last = 1)"""
+
+
 BEAM = f"(SELECT qid, id, round(dist, 6) AS dist, rank % 2 = 0 AS expanded FROM {knn(K, 16)})"
 BATCH = f"(SELECT qid, id, round(dist, 6) AS dist, false AS expanded FROM {knn(K, 32)})"
 
@@ -118,8 +175,24 @@ ORACLE_SQL: dict[str, str] = {
     "merge_beams": f"""SELECT qid, CAST(n AS INTEGER) AS rank, id, dist, expanded FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS n FROM
         (SELECT qid, id, min(dist) AS dist, bool_or(expanded) AS expanded FROM (SELECT * FROM {BEAM} UNION ALL SELECT * FROM {BATCH}) GROUP BY qid, id)) WHERE n <= 12""",
     "frontier_selection": f"SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS n FROM {BEAM} WHERE NOT expanded) WHERE n <= 3",
-    "dimension_recalls": f"SELECT CAST(dim AS INTEGER) AS dim, round(recall, 6) AS recall FROM ({_RECALLS})",
-    "min_dimension": f"SELECT CAST(min(dim) AS INTEGER) AS dim FROM ({_RECALLS}) WHERE recall >= 0.99",
+    "dimension_recalls": f"SELECT dim, round(recall, 6) AS recall FROM {_RECALLS}",
+    "min_dimension": f"SELECT CAST(min(dim) AS INTEGER) AS dim FROM {_RECALLS} WHERE recall >= 0.99",
+    "training_truth": f"SELECT qid, rank, id, round(dist, 6) AS dist FROM {sampled(100)}",
+    "pca_variance": """WITH e AS (SELECT vec_id, p, embedding[p]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)),
+        c AS (SELECT a.p = b.p AS own, covar_samp(a.x, b.x) AS c FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.p, b.p)
+        SELECT round(sum(CASE WHEN own THEN c ELSE 0 END), 6) AS total, round(sum(c * c), 6) AS squares, 1.0::DOUBLE AS ratio FROM c""",
+    "pca_lengths": """WITH e AS (SELECT vec_id, p, embedding[p]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)),
+        m AS (SELECT p, avg(x) AS m FROM e GROUP BY p) SELECT vec_id AS id, round(sum((x - m) * (x - m)), 6) AS length, true AS same FROM e JOIN m ON e.p = m.p GROUP BY vec_id""",
+    "vector_files": " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, vec_id AS id, CAST(len(embedding) AS INTEGER) AS dims, round(list_sum(list_transform(embedding, lambda x: {'floor(abs((x * 100::FLOAT)::FLOAT))::DOUBLE' if kind in ('ivecs', 'bvecs', 'nsw') else 'x::DOUBLE'})), 4) AS total FROM embeddings"
+        for kind in KINDS
+    ),
+    "global_offsets": f"SELECT box_id, n, CAST(coalesce(sum(n) OVER (ORDER BY box_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {COUNTS}",
+    "kd_boxes": f"{kd_leaves()} SELECT box_id, CAST(count(*) AS INTEGER) AS n, " + ", ".join(f"round({f}({a}), 6) AS {p}_{a}" for p, f in (("lo", "min"), ("hi", "max")) for a in AXES) + " FROM leaves GROUP BY box_id",
+    "kd_members": f"{kd_leaves()} SELECT box_id, id FROM leaves",
+    "beam_search_raw": beam(),
+    "beam_whole_box": f"SELECT qid, rank, id, round(dist, 6) AS dist FROM {knn()}",
+    "beam_whole_random": f"SELECT qid, rank, id, round(dist, 6) AS dist FROM {knn()}",
     "random_entry_lcg": f"""WITH RECURSIVE t AS (SELECT vec_id AS qid, 0 AS i, vec_id * 64 % {bits.WORD} AS s FROM embeddings UNION ALL SELECT qid, i + 1, {LCG} FROM t WHERE i < 16)
         SELECT DISTINCT qid, s % (SELECT count(*) FROM embeddings) AS id FROM t WHERE i > 0""",
     "lcg_states": f"SELECT id, s AS state, 10 + s % 990 AS random_id FROM (SELECT s AS id, {LCG} AS s FROM (SELECT vec_id AS s FROM embeddings))",

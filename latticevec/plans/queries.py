@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticevec.functions import bits, vec
-from latticevec.lineage import checkpoint
+from latticevec.lineage import checkpoint, remove, shared_dir
 from latticevec.operators import beam, boxes, knn, metrics, pca, tune
 from latticevec.plans.config import SearchConfig
 from latticevec.plans.index import VectorIndex
-from latticevec.sources import logs
+from latticevec.sources import formats, logs
 
 K, DEGREE, WIDTH = 10, 16, 128
 #: A fixed projection to three dimensions, by rows.
 MATRIX = [[((7 * i + 13 * j) % 11 - 5) / 10 for j in range(3)] for i in range(64)]
-DIMS = [16, 32, 48, 56, 64]
+DIMS = range(1, 65)
+TRAINING, CAPACITY = 100, 25
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +120,8 @@ def beam_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    labels = base(spark, sf_dir).select("label").distinct()
-    numbers = labels.withColumn("number", F.row_number().over(Window.orderBy("label")) - 1)  # ten labels
-    return base(spark, sf_dir).join(F.broadcast(numbers), "label").select("id", "number")
+    numbers = boxes.dense_numbers(base(spark, sf_dir), "label")  # ten labels
+    return base(spark, sf_dir).join(F.broadcast(numbers), "label").select("id", F.col("number").cast("int").alias("number"))
 
 
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,10 @@ def hit_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.running_offsets(boxes.points_in_boxes(points(spark, sf_dir, "qid"), made), boxes.histogram(made))
 
 
+def global_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.global_offsets(boxes.histogram(label_boxes(spark, sf_dir)))
+
+
 def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = knn.score(box_candidates(spark, sf_dir), base(spark, sf_dir), asked(spark, sf_dir))
     return rounded(knn.ranked(scored, K).select("qid", "rank", "id", "dist"), "dist")
@@ -213,12 +217,16 @@ def frontier_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.frontier(_beam(spark, sf_dir)[0], 3)
 
 
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tune.training_sample(base(spark, sf_dir), TRAINING).select(F.col("id").alias("qid"), "vec")
+
+
 def dimension_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tune.dimension_recalls(base(spark, sf_dir), asked(spark, sf_dir), DIMS, WIDTH, K), "recall")
+    return rounded(tune.dimension_recalls(base(spark, sf_dir), training(spark, sf_dir), DIMS, WIDTH, K), "recall")
 
 
 def min_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tune.least_dimension(tune.dimension_recalls(base(spark, sf_dir), asked(spark, sf_dir), DIMS, WIDTH, K), 0.99)
+    return tune.least_dimension(tune.dimension_recalls(base(spark, sf_dir), training(spark, sf_dir), DIMS, WIDTH, K), 0.99)
 
 
 def random_entry_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,8 +260,7 @@ def log_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = tune.training_sample(base(spark, sf_dir))
-    return knn.exact_knn(base(spark, sf_dir), sample.select(F.col("id").alias("qid"), "vec"), 100)
+    return rounded(knn.exact_knn(base(spark, sf_dir), training(spark, sf_dir), 100), "dist")
 
 
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,13 +269,52 @@ def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "components int, eigenvalue double, ratio double")
 
 
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What doesn't depend on the signs of components: the eigenvalues' sum and squares, and the whole of the ratio."""
+    return rounded(pca_explained(spark, sf_dir).agg(F.sum("eigenvalue").alias("total"), F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares"), F.max("ratio").alias("ratio")), "total", "squares", "ratio")
+
+
+def pca_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's squared distance from the mean, and whether all its components together are as long but for rounding."""
+    rows, model = base(spark, sf_dir), pca.fit(base(spark, sf_dir))
+    centred = vec.subtract(F.col("vec"), vec.vector(model.mean))
+    made = pca.transform(rows.select("id", "vec"), model, len(model.mean)).withColumn("length", vec.dot(centred, centred))
+    return made.select("id", F.round("length", 6).alias("length"), (F.abs(vec.dot(F.col("pca"), F.col("pca")) - F.col("length")) < 1e-5).alias("same"))
+
+
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written to every layout of files and read again: (kind, id, dims, total of the components)."""
+    formats.register(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    rows = base(spark, sf_dir).repartitionByRange(3, "id").sortWithinPartitions("id")
+    whole = rows.select("id", F.transform("vec", lambda x: F.floor(F.abs(x * 100)).cast("int")).alias("vec"))
+    out = []
+    for kind in formats.KINDS:
+        made = whole if kind in ("ivecs", "bvecs", "nsw") else rows.select("id", "vec")
+        made.write.format("vectors").option("kind", kind).mode("append").save(f"{folder}/{kind}")
+        reader = spark.read.format("vectors").option("kind", kind)
+        if kind == "nsw":  # a file of its own tells how many rows it has
+            formats.merge(f"{folder}/nsw", f"{folder}/one.nsw")
+            read = reader.option("rows", rows.count()).load(f"{folder}/one.nsw")
+        else:
+            read = reader.load(f"{folder}/{kind}")
+        out.append(read.select(F.lit(kind).alias("kind"), "id", F.size("vec").alias("dims"), F.round(vec.total(F.col("vec").cast("array<double>")), 4).alias("total")))
+    read = checkpoint(reduce(DataFrame.unionAll, out))
+    remove(spark, folder)
+    return read
+
+
 def config(**more) -> SearchConfig:
     return SearchConfig.algorithm(**({"number": 1, "dims": 48, "degree": 32, "n_candidates": WIDTH, "topk": K, "search_width": 4, "point_ratio": 0.05} | more))
 
 
 def kd_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = VectorIndex.build(base(spark, sf_dir), config(degree=1))
-    return index.boxes.select("box_id", "lo", "hi", F.size("members").alias("n"))
+    made = boxes.kd_boxes(points(spark, sf_dir), CAPACITY)
+    return flat(made.withColumn("n", F.size("members")), "box_id", "n")
+
+
+def kd_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.kd_boxes(points(spark, sf_dir), CAPACITY).select("box_id", F.explode("members").alias("id"))
 
 
 def _search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
@@ -277,7 +323,7 @@ def _search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
 
 
 def beam_search_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, number=0)
+    return rounded(_search(spark, sf_dir, number=0), "dist")
 
 
 def beam_search_box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +338,15 @@ def beam_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, rerank=True)
 
 
+def beam_whole_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a beam for all rows and distances of whole vectors the search is exact, whatever it starts from and in."""
+    return rounded(_search(spark, sf_dir, rerank=True, n_candidates=base(spark, sf_dir).count()), "dist")
+
+
+def beam_whole_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_search(spark, sf_dir, number=2, rerank=True, n_candidates=base(spark, sf_dir).count()), "dist")
+
+
 def beam_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.recall(_search(spark, sf_dir, rerank=True), nearest(spark, sf_dir), K), "recall")
 
@@ -301,8 +356,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_exact, knn_truncated, centroid_distances, knn_graph, graph_without_sentinels, in_degree, graph_two_hop, column_mean, center_vectors, covariance,
         project_fixed_matrix, gemm_rows, subspace_points, quantised, beam_length, id_remap, bounds, tight_boxes_by_label, expand_boxes, box_histogram, point_in_box,
-        box_entry_with_fallback, box_candidates, hit_offsets, candidate_topk, kd_split_level1, recall_at_k, recall_by_label, mean_candidates, rerank_truncated_candidates,
+        box_entry_with_fallback, box_candidates, hit_offsets, global_offsets, candidate_topk, kd_split_level1, recall_at_k, recall_by_label, mean_candidates, rerank_truncated_candidates,
         merge_beams, frontier_selection, dimension_recalls, min_dimension, random_entry_lcg, lcg_states, bloom_hash, bloom_params, log_averages, training_truth,
-        pca_explained, kd_boxes, beam_search_raw, beam_search_box, beam_search_random, beam_rerank, beam_recall,
+        pca_explained, pca_variance, pca_lengths, vector_files, kd_boxes, kd_members, beam_whole_box, beam_whole_random, beam_search_raw, beam_search_box, beam_search_random, beam_rerank, beam_recall,
     )
 }

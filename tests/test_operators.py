@@ -49,6 +49,59 @@ def test_more_neighbours_than_rows_and_no_rows(spark):
     assert knn.exact_knn(base, base.limit(0), 5, qid="id").count() == 0
 
 
+def test_odd_vectors(spark, cloud):
+    """Null vectors, null or infinite components and rows without an id take no part; short vectors go on with zeros."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [None, 1.0]), (4, [nan, 0.0]), (5, [inf, 0.0]), (None, [0.0, 0.0]), (6, [1.0]), (7, [])]
+    odd = spark.createDataFrame(rows, "id long, vec array<float>")
+    asked = odd.select(F.col("id").alias("qid"), "vec")
+    found = lists(knn.exact_knn(odd, asked, 3))
+    assert found == {0: [0, 6, 1], 1: [1, 0, 6], 6: [0, 6, 1], 7: [7, 0, 6]}
+    start = spark.createDataFrame([(q, 1) for q in (0, 2, 6)], "qid long, id long")
+    graph = knn.knn_graph(odd, 3)
+    expected = {0: [0, 6, 1], 6: [0, 6, 1]}
+    assert lists(beam.search(asked, odd, graph, start, 3)) == expected
+    used = odd.where("id in (0, 1, 6, 7)")
+    assert lists(beam.by_joins(used.select(F.col("id").alias("qid"), "vec"), used, graph, start, 3).select("qid", "rank", "id", "dist")) == expected
+    assert pca.fit(odd).mean.tolist() == [0.6, 0.2]
+    assert pca.transform(odd, pca.fit(odd), 2).count() == 5  # the row without an id has a vector
+
+
+def test_lookup_by_cells_equals_all_comparisons(spark):
+    draw = np.random.default_rng(8)
+    lo = draw.normal(size=(300, 3))
+    hi = lo + draw.choice([0.0, 0.01, 0.3, 4.0], (300, 1)) * draw.uniform(size=(300, 3))
+    p = np.concatenate([draw.normal(size=(400, 3)), lo[:50], hi[50:100], (lo + hi)[:50] / 2])
+    shape = "box_id int, lo struct<x:double,y:double,z:double>, hi struct<x:double,y:double,z:double>"
+    made = spark.createDataFrame([(k, tuple(map(float, a)), tuple(map(float, b))) for k, (a, b) in enumerate(zip(lo, hi, strict=True))], shape)
+    points = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)] + [(999, None, 0.0, 0.0)], "qid long, x double, y double, z double")
+    inside = ((p[:, None] >= lo) & (p[:, None] <= hi)).all(axis=2)
+    for limit in (boxes.BROADCAST_BYTES, 0):
+        boxes.BROADCAST_BYTES, before = limit, boxes.BROADCAST_BYTES
+        try:
+            assert {tuple(r) for r in boxes.points_in_boxes(points, made).collect()} == set(zip(*map(list, np.nonzero(inside)), strict=True))
+            one = {r["qid"]: r["box_id"] for r in boxes.box_of(points, made).collect()}
+        finally:
+            boxes.BROADCAST_BYTES = before
+        assert one == {k: int(np.flatnonzero(row)[0]) if row.any() else 0 for k, row in enumerate(inside)} | {999: 0}
+    assert boxes.points_in_boxes(points, made.limit(0)).count() == 0 and boxes.box_of(points, made.limit(0)).count() == 501
+
+
+def test_dense_numbers_and_offsets(spark):
+    rows = spark.createDataFrame([(x,) for x in ["b", "a", None, "c", "a"] + [f"x{i:04d}" for i in range(500)]], "v string").repartition(5)
+    got = {r["v"]: r["number"] for r in boxes.dense_numbers(rows, "v").collect()}
+    assert got == {v: k for k, v in enumerate(["a", "b", "c"] + [f"x{i:04d}" for i in range(500)])}
+
+
+def test_dimension_recalls_equal_searches(spark, cloud):
+    base, asked = vectors(spark, cloud[:150]), vectors(spark, cloud[:20], "qid")
+    truth = knn.exact_knn(base, asked, 5)
+    got = {r["dim"]: r["recall"] for r in tune.dimension_recalls(base, asked, range(1, 13), 8, 5).collect()}
+    assert sorted(got) == list(range(1, 13)) and got[12] == 1
+    for d in (1, 4, 9):
+        assert got[d] == pytest.approx(metrics.recall(knn.exact_knn(base, asked, 8, dims=d), truth, 5).first()["recall"])
+
+
 def test_pca(spark, cloud):
     x = cloud * np.linspace(3, 0.1, 12, dtype=np.float32) + 5
     model = pca.fit(vectors(spark, x).repartition(3))

@@ -28,3 +28,24 @@ def test_small_side_is_broadcast_and_top_k_is_pushed_below_the_shuffle(spark, sf
     plan = QUERIES["knn_exact"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
+def test_without_the_corpus_operators_or_their_libraries(monkeypatch):
+    """The other queries don't need them: neither the folder nor a library that only they import."""
+    import importlib
+    import sys
+
+    for hidden in ("public_tokenizers", "latticevec.llm", "corpus_pipeline"):
+        with monkeypatch.context() as m:
+            for name in [n for n in sys.modules if n.startswith(("latticevec.llm", "corpus_pipeline"))]:
+                m.delitem(sys.modules, name)
+            m.setitem(sys.modules, hidden, None)
+            alone = importlib.reload(entry)
+            assert set(alone.queries()) == set(QUERIES) and set(alone.oracle_sql()) == set(ORACLE_SQL)
+    importlib.reload(entry)
+
+
+def test_points_are_looked_up_without_a_nested_loop(spark, sf_dir):
+    for name in ("point_in_box", "box_entry_with_fallback"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" in plan
