@@ -37,12 +37,14 @@ from latticevec.llm.common import checkpoint
 
 TABLES = 10
 TARGET = 0.93
-#: Queries that the number of probes is measured on, and rows whose products tell what can't be among the nearest, at most.
-SAMPLE, SAMPLE_ROWS = 200, 2000
+#: Queries that the number of probes is measured on, at most.
+SAMPLE = 200
+#: Rows whose products tell what can't be among a query's nearest: as many as the first, or so often the root of all rows, in so many bytes.
+LEAST_SAMPLE, ROOTS, SAMPLE_BYTES = 2000, 40, 16_000_000
 #: Rows, and queries, of a task.
 TASK_ROWS, TASK_QUERIES = 16_384, 512
 #: Rows of a bucket, and of a group of buckets, on average; rows and queries that meet at once, at most.
-BUCKET_ROWS, GROUP_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 6, 2048, 4096, 1024
+BUCKET_ROWS, GROUP_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 6, 2048, 8192, 8192
 #: Rows up to which all are looked at.
 FEW = 4096
 #: Groups of more than a block that are broadcast at most (24 bytes each).
@@ -317,7 +319,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     alike = checkpoint(kept.groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
     # Hashing costs far more than rows weigh, so they are dealt out by number, not by size.
     single, asked = alike.select("id", "vec").repartition(-(-n // TASK_ROWS), "id"), asked.repartition(-(-asks["n"] // TASK_QUERIES), "id")
-    sample = matrix(single.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow().column("vec").combine_chunks(), dim)
+    known = min(max(LEAST_SAMPLE, int(ROOTS * n**0.5)), max(k + 1, SAMPLE_BYTES // (8 * dim)))
+    sample = matrix(single.orderBy(F.xxhash64("id"), "id").limit(known).toArrow().column("vec").combine_chunks(), dim)
     every = Hash(dim, longest, even, [], tables=1)
 
     def expanded(found: DataFrame) -> DataFrame:
