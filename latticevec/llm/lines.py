@@ -23,7 +23,7 @@ def _windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     lines = docs.select(F.col(doc_id).isNull().alias("__lv_none"), *row_key(doc_id, text), F.split(F.col(text), "\n", -1).alias("lines"))
     made = """transform(sequence(0, size(lines) - 3), i -> struct(i,
         xxhash64(lines[i], lines[i + 1], lines[i + 2]) AS h, xxhash64(lines[i + 2], 1, lines[i + 1], lines[i]) AS g,
-        translate(concat(lines[i], lines[i + 1], lines[i + 2]), ' \t\r\f\u000b', '') = '' AS blank))"""
+        trim(BOTH ' \t\r\f\u000b' FROM lines[i]) = '' AND trim(BOTH ' \t\r\f\u000b' FROM lines[i + 1]) = '' AND trim(BOTH ' \t\r\f\u000b' FROM lines[i + 2]) = '' AS blank))"""
     rows = lines.where("size(lines) >= 3").select("__lv_none", *KEY, F.expr(f"inline({made})"))
     return rows.where("not blank").drop("blank")
 
