@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """entry: "box" starts from the members of the query's box, "random" from random rows. projected: search in principal components.
+    """entry: "box" starts from the members of the query's box, "random" from random rows. projected: search in principal components. graph: "exact" compares all pairs, "descent" doesn't.
 
     topk 0 stands for n_candidates, the beam's length.
     """
@@ -25,10 +25,13 @@ class SearchConfig:
     point_ratio: float = 0.000128
     expand_ratio: float = 0.2
     rerank: bool = False
+    graph: str = "exact"
 
     def __post_init__(self) -> None:
         if self.entry not in ("box", "random"):
             raise ValueError("entry is box or random")
+        if self.graph not in ("exact", "descent"):
+            raise ValueError("graph is exact or descent")
         if self.entry == "box" and not self.projected:
             raise ValueError("boxes are made of principal components")
         if min(self.dims, self.degree, self.n_candidates, self.search_width) < 1 or self.max_iter < 0 or self.topk < 0:

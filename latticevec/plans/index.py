@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticevec.functions.vec import subspace
 from latticevec.operators import beam, boxes, knn, pca
+from latticevec.operators.descent import descent_graph
 from latticevec.plans.config import SearchConfig
 from latticevec.sources.store import Store
 
@@ -25,7 +26,7 @@ class VectorIndex:
 
     @classmethod
     def build(cls, base: DataFrame, config: SearchConfig, graph: DataFrame | None = None, store: Store | None = None, name: str = "index") -> VectorIndex:
-        """An index of (id, vec). Without a graph an exact one is made. With a store, parts that it has under the same name and settings are read instead."""
+        """An index of (id, vec). Without a graph one is made, as the config says. With a store, parts that it has under the same name and settings are read instead."""
         store = store or Store(None)
         key = config.key(name)
         base = base.select(F.col("id").cast("long").alias("id"), "vec")
@@ -36,7 +37,8 @@ class VectorIndex:
             space = store.cached(f"{key}/space", lambda: pca.transform(base, model, dims).select("id", F.col("pca").alias("vec")), base.sparkSession)
         nodes = base.count()
         if graph is None:
-            graph = store.cached(f"{key}/graph", lambda: knn.knn_graph(space, config.degree), base.sparkSession)
+            make = descent_graph if config.graph == "descent" else knn.knn_graph
+            graph = store.cached(f"{key}/graph", lambda: make(space, config.degree), base.sparkSession)
         if config.entry == "box":
             capacity = int(nodes * config.point_ratio)
             points = space.select("id", F.inline(F.array(subspace(F.col("vec")))))

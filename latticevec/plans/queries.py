@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latticevec.functions import bits, vec
 from latticevec.lineage import checkpoint, remove, shared_dir
-from latticevec.operators import beam, boxes, knn, metrics, pca, tune
+from latticevec.operators import beam, boxes, descent, knn, metrics, pca, tune
 from latticevec.plans.config import SearchConfig
 from latticevec.plans.index import VectorIndex
 from latticevec.sources import formats, logs
@@ -64,6 +64,10 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.graph_edges(knn.knn_graph(base(spark, sf_dir), DEGREE))
 
 
+def knn_graph_by_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.graph_edges(descent.descent_graph(base(spark, sf_dir), DEGREE))
+
+
 def graph_without_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = knn.knn_graph(base(spark, sf_dir), 4)
     nodes = graph.count()
@@ -354,7 +358,7 @@ def beam_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        knn_exact, knn_truncated, centroid_distances, knn_graph, graph_without_sentinels, in_degree, graph_two_hop, column_mean, center_vectors, covariance,
+        knn_exact, knn_truncated, centroid_distances, knn_graph, knn_graph_by_descent, graph_without_sentinels, in_degree, graph_two_hop, column_mean, center_vectors, covariance,
         project_fixed_matrix, gemm_rows, subspace_points, quantised, beam_length, id_remap, bounds, tight_boxes_by_label, expand_boxes, box_histogram, point_in_box,
         box_entry_with_fallback, box_candidates, hit_offsets, global_offsets, candidate_topk, kd_split_level1, recall_at_k, recall_by_label, mean_candidates, rerank_truncated_candidates,
         merge_beams, frontier_selection, dimension_recalls, min_dimension, random_entry_lcg, lcg_states, bloom_hash, bloom_params, log_averages, training_truth,
