@@ -287,11 +287,15 @@ def pca_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows written to every layout of files and read again: (kind, id, dims, total of the components)."""
+    """Rows written to every layout of files and read again: (kind, id, dims, total of the components).
+
+    Files hold no ids, but rows in the order of their ids, by which a row's number gives its id back.
+    """
     formats.register(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
     rows = base(spark, sf_dir).repartitionByRange(3, "id").sortWithinPartitions("id")
-    whole = rows.select("id", F.transform("vec", lambda x: F.floor(F.abs(x * 100)).cast("int")).alias("vec"))
+    # In single precision, like the components: a float times an integer is a double in Spark.
+    whole = rows.select("id", F.transform("vec", lambda x: F.floor(F.abs(x * F.lit(100).cast("float"))).cast("int")).alias("vec"))
     out = []
     for kind in formats.KINDS:
         made = whole if kind in ("ivecs", "bvecs", "nsw") else rows.select("id", "vec")
@@ -305,7 +309,9 @@ def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.append(read.select(F.lit(kind).alias("kind"), "id", F.size("vec").alias("dims"), F.round(vec.total(F.col("vec").cast("array<double>")), 4).alias("total")))
     read = checkpoint(reduce(DataFrame.unionAll, out))
     remove(spark, folder)
-    return read
+    starts = boxes.global_offsets(base(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id")
+    numbers = starts.select("id", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("number"))
+    return read.withColumnRenamed("id", "number").join(numbers, "number").select("kind", "id", "dims", "total")
 
 
 def config(**more) -> SearchConfig:

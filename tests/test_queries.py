@@ -49,3 +49,14 @@ def test_points_are_looked_up_without_a_nested_loop(spark, sf_dir):
     for name in ("point_in_box", "box_entry_with_fallback"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_vector_files_keep_any_ids_and_single_precision(spark, tmp_path, same):
+    """0.29 and 0.57 times 100 are whole numbers in single precision, and less in double; ids have gaps, and one stands twice."""
+    import duckdb
+
+    rows = [(7 + 100 * i, [0.29, -0.57, 0.5, i / 8], 0) for i in range(9)] + [(107, [1.0, 0.29, 0.25, 0.58], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(QUERIES["vector_files"](spark, str(tmp_path)).toPandas(), con.execute(ORACLE_SQL["vector_files"]).df())
