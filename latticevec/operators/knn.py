@@ -27,7 +27,8 @@ def ranked(pairs: DataFrame, k: int, by: str = "qid", *order: Column) -> DataFra
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _rows(qids: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def as_rows(qids: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """(qid, id, dist) of (query, k) distances and ids; places without a row are left out."""
     row, col = np.nonzero(ids >= 0)
     return pa.RecordBatch.from_arrays([pa.array(qids[row], pa.int64()), pa.array(ids[row, col], pa.int64()), pa.array(d[row, col], pa.float64())], ["qid", "id", "dist"])
 
@@ -60,7 +61,7 @@ def _by_broadcast(rows: DataFrame, asked: DataFrame, k: int, dims: int | None, s
             if batch.num_rows and len(q):
                 found = nearest_in_block(q, matrix_of(batch.column("vec"), dims), batch.column("id").to_numpy(), k, qids if skip_self else None)
                 best, who = merged(best, who, *found)
-        yield _rows(qids, best, who)
+        yield as_rows(qids, best, who)
 
     # Each partition gives k rows for each query, so there are a few partitions for each core, however many files there are.
     return rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(scan, RESULT)
@@ -77,7 +78,7 @@ def _by_blocks(rows: DataFrame, asked: DataFrame, n_asked: int, k: int, dims: in
             return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
         qids = a.column("qid").to_numpy()
         d, ids = nearest_in_block(matrix_of(a.column("vec"), dims), matrix_of(b.column("vec"), dims), b.column("id").to_numpy(), k, qids if skip_self else None)
-        return pa.Table.from_batches([_rows(qids, d, ids)])
+        return pa.Table.from_batches([as_rows(qids, d, ids)])
 
     return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(meet, RESULT)
 

@@ -52,16 +52,28 @@ class VectorIndex:
             return asked
         return pca.transform(asked, self.model, min(self.config.dims, len(self.model.mean))).select("qid", F.col("pca").alias("vec"))
 
+    def box_of(self, asked: DataFrame) -> DataFrame:
+        """(qid, box_id) of each projected query."""
+        return boxes.box_of(asked.select("qid", F.inline(F.array(subspace(F.col("vec"))))), self.boxes)
+
     def entries(self, asked: DataFrame) -> DataFrame:
         """(qid, id): where each projected query starts."""
         if self.boxes is None:
             return beam.random_entries(asked, self.nodes, self.config.n_candidates)
-        hit = boxes.box_of(asked.select("qid", F.inline(F.array(subspace(F.col("vec"))))), self.boxes)
-        return boxes.entries(hit, self.boxes, self.config.n_candidates)
+        return boxes.entries(self.box_of(asked), self.boxes, self.config.n_candidates)
 
     def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """(qid, rank, id, dist) for (qid, vec). With ``rerank`` the whole beam is ranked again by the vectors themselves."""
+        """(qid, rank, id, dist) for (qid, vec). With ``rerank`` the whole beam is ranked again by the vectors themselves.
+
+        Where a search from boxes has a beam and rounds for all rows and ranks
+        them again, its end is found without writing out a beam of all rows
+        for each query, and is exact.
+        """
         c, k = self.config, k or self.config.k
         asked = self.project(queries)
+        if self.boxes is not None and c.rerank and min(c.n_candidates, c.max_iter * c.search_width) >= self.nodes and beam.fits(self.base, self.graph):
+            starts = self.boxes.select(F.col("box_id").alias("start"), F.col("members").alias("ids"))
+            begun = queries.select(F.col("qid").cast("long").alias("qid"), "vec").join(self.box_of(asked).withColumnRenamed("box_id", "start"), "qid")
+            return beam.whole(begun, self.base, self.graph, starts, k)
         found = beam.search(asked, self.space, self.graph, self.entries(asked), c.n_candidates if c.rerank else k, c.n_candidates, c.search_width, c.max_iter)
         return knn.rerank(found, self.base, queries.select(F.col("qid").cast("long").alias("qid"), "vec"), k) if c.rerank else found

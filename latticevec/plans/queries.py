@@ -349,8 +349,9 @@ def beam_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beam_whole_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a beam for all rows and distances of whole vectors the search is exact, whatever it starts from and in."""
-    return rounded(_search(spark, sf_dir, rerank=True, n_candidates=base(spark, sf_dir).count()), "dist")
+    """With a beam for all rows, rounds to expand them all and distances of whole vectors the search is exact, whatever it starts from and in."""
+    n = base(spark, sf_dir).count()
+    return rounded(_search(spark, sf_dir, rerank=True, n_candidates=n, max_iter=n), "dist")
 
 
 def beam_whole_random(spark: SparkSession, sf_dir: str) -> DataFrame:

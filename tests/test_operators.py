@@ -172,6 +172,25 @@ def test_beam_search_by_joins_is_the_same(spark, cloud, width, max_iter):
     assert all(len(set(v)) == len(v) for v in lists(a).values())
 
 
+@pytest.mark.parametrize("linked", [True, False])
+def test_a_beam_for_all_rows_is_exact_and_never_written_out(spark, cloud, linked, monkeypatch):
+    """Also where no path leads from a query's box to other rows; a query hands on k rows, not all."""
+    base, n = vectors(spark, cloud), len(cloud)
+    graph = None if linked else spark.createDataFrame([(i, []) for i in range(n)], "id long, neighbors array<long>")
+    index = VectorIndex.build(base, SearchConfig.algorithm(1, dims=8, degree=6, n_candidates=n, topk=5, search_width=4, point_ratio=0.1, rerank=True, max_iter=n), graph)
+    sizes = []
+    monkeypatch.setattr(beam, "ranked", lambda pairs, k: sizes.append(pairs.count()) or knn.ranked(pairs, k))
+    found = lists(index.search(base.select(F.col("id").alias("qid"), "vec")))
+    assert found == dict(enumerate(brute(cloud, cloud, 5)))
+    assert sizes == [5 * n]
+
+
+def test_paths_are_followed_to_their_end():
+    graph = beam.Graph.of(np.array([2, 5, 7, 9, 11]), np.zeros((5, 1)), np.array([2, 5, 9, 11]), np.array([2, 1, 1, 0]), np.array([5, 4, 7, 9]))
+    reached = lambda *seeds: graph.ids[graph.reached(np.array(seeds, np.int64))].tolist()
+    assert [reached(0), reached(3), reached(2, 4), reached()] == [[2, 5, 7], [9], [7, 11], []]
+
+
 def test_beam_as_long_as_the_table_is_exact(spark, cloud):
     base, asked = vectors(spark, cloud[:60]), vectors(spark, cloud[:5], "qid")
     graph = knn.knn_graph(base, 59)
