@@ -71,7 +71,7 @@ class VectorIndex:
         """
         c, k = self.config, k or self.config.k
         asked = self.project(queries)
-        if self.boxes is not None and c.rerank and min(c.n_candidates, c.max_iter * c.search_width) >= self.nodes and beam.fits(self.base, self.graph):
+        if self.boxes is not None and c.rerank and min(c.n_candidates, c.max_iter * c.search_width) >= self.nodes:
             starts = self.boxes.select(F.col("box_id").alias("start"), F.col("members").alias("ids"))
             begun = queries.select(F.col("qid").cast("long").alias("qid"), "vec").join(self.box_of(asked).withColumnRenamed("box_id", "start"), "qid")
             return beam.whole(begun, self.base, self.graph, starts, k)

@@ -191,6 +191,43 @@ def test_paths_are_followed_to_their_end():
     assert [reached(0), reached(3), reached(2, 4), reached()] == [[2, 5, 7], [9], [7, 11], []]
 
 
+def test_a_beam_for_all_rows_does_not_depend_on_what_fits_in_memory(spark, cloud, monkeypatch):
+    """Rows that no path leads to are found on tables of any size."""
+    base, n = vectors(spark, cloud), len(cloud)
+    graph = spark.createDataFrame([(i, []) for i in range(n)], "id long, neighbors array<long>")
+    index = VectorIndex.build(base, SearchConfig.algorithm(1, dims=8, degree=6, n_candidates=n, topk=5, search_width=4, point_ratio=0.1, rerank=True, max_iter=n), graph)
+    monkeypatch.setattr(beam, "BROADCAST_BYTES", 0)
+    assert lists(index.search(base.select(F.col("id").alias("qid"), "vec"))) == dict(enumerate(brute(cloud, cloud, 5)))
+
+
+@pytest.mark.parametrize(("block", "at_once", "rounds"), [(32_768, 64, 32), (40, 3, 32), (40, 64, 1)])
+def test_blocks_starts_at_once_and_rounds_change_no_result(spark, cloud, monkeypatch, block, at_once, rounds):
+    """Queries with entries, with none, and with a start that isn't there; odd vectors, sentinels and no queries."""
+    inf = float("inf")
+    rows = [(i, r.tolist()) for i, r in enumerate(cloud[:150])] + [(150, cloud[3].tolist()), (151, None), (152, [inf]), (153, [None]), (None, [0.0]), (154, [1.0]), (155, [])]
+    base = spark.createDataFrame(rows, "id long, vec array<float>")
+    graph = knn.knn_graph(base, 4).withColumn("neighbors", F.concat("neighbors", F.array(F.lit(999).cast("long"), F.lit(151).cast("long"))))
+    starts = spark.createDataFrame([(10 * s, [s, s + 70, 152, 999]) for s in range(7)] + [(80, [])], "start long, ids array<long>")
+    asked = base.select(F.col("id").alias("qid"), "vec", (F.col("id") % 10 * 10).alias("start"))
+    for name, value in (("BASE_BLOCK", block), ("STARTS", at_once), ("ROUNDS", rounds)):
+        monkeypatch.setattr(beam, name, value)
+    key = lambda df: [(r["qid"], r["rank"], r["id"], r["dist"]) for r in df.orderBy("qid", "rank").collect()]
+    assert key(beam.whole(asked, base, graph, starts, 5)) == key(knn.exact_knn(base, asked, 5))
+    assert beam.whole(asked.limit(0), base, graph, starts, 5).count() == 0
+    assert beam.whole(asked, base.limit(0), graph, starts, 5).count() == 0
+
+
+def test_paths_by_joins_are_those_in_memory(spark, cloud):
+    base = vectors(spark, cloud)
+    graph = knn.knn_graph(base, 2)
+    seeds = {b: [b, (37 * b) % 300] for b in range(64)}
+    entries = spark.createDataFrame([(i, b) for b, ids in seeds.items() for i in ids], "id long, bit int").select("id", F.expr("shiftleft(1L, bit)").alias("bits"))
+    found = {r["id"]: r["bits"] for r in beam.reached(base.select("id"), graph, entries).collect()}
+    memory = beam.Graph.collected(base, graph)
+    for b, ids in seeds.items():
+        assert [i for i in range(300) if found[i] >> b & 1] == np.flatnonzero(memory.reached(np.array(ids))).tolist()
+
+
 def test_beam_as_long_as_the_table_is_exact(spark, cloud):
     base, asked = vectors(spark, cloud[:60]), vectors(spark, cloud[:5], "qid")
     graph = knn.knn_graph(base, 59)
